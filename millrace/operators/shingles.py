@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
+from millrace.operators.skew import attach
 
 # Four bytes hold any character, so the i-th one starts at byte 4*i and a shingle is a plain byte
 # range. On UTF-8 each substring would scan the text from its start.
@@ -70,3 +71,16 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     """
     grouped = docs.groupBy("text").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
     return grouped.select("id", "text", "copies")
+
+
+def copy_links(docs: DataFrame) -> DataFrame:
+    """``(id, copy_id)``: every further document of an equal text, linked to the smallest id.
+
+    A star per text, one row per copy. Texts are compared by digest; a text that very many
+    documents share is one hot key, which :func:`attach` spreads.
+    """
+    keyed = docs.select(F.col("id").alias("copy_id"), F.md5("text").alias("_text"))
+    first = keyed.groupBy("_text").agg(F.min("copy_id").alias("id"), F.count(F.lit(1)).alias("_n"))
+    shared = first.where(F.col("_n") > 1)
+    linked = attach(keyed, shared, ["_text"], row_id="copy_id", freq="_n")
+    return linked.where(F.col("copy_id") > F.col("id")).select("id", "copy_id")
