@@ -84,28 +84,30 @@ def interpolate(
             F.max(at[c]).alias(f"_tp_{c}"),
         ]
     summary = blocked.groupBy(*keys).agg(*ends)
-    along = Window.partitionBy(*series).orderBy("_block")
-    before = along.rowsBetween(Window.unboundedPreceding, -1)
-    after = along.rowsBetween(1, Window.unboundedFollowing)
+    # "What comes next" is "what came last" in descending order: a frame that ends at the current
+    # row is kept up as rows go by, one that starts there is evaluated anew for each row.
+    along = Window.partitionBy(*series)
+    before = along.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    after = along.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
     borders = []
     for c in columns:
         borders += [
             F.last(f"_tv_{c}", ignorenulls=True).over(before).alias(f"_bv_{c}"),
             F.last(f"_tp_{c}", ignorenulls=True).over(before).alias(f"_bp_{c}"),
-            F.first(f"_hv_{c}", ignorenulls=True).over(after).alias(f"_av_{c}"),
-            F.first(f"_hp_{c}", ignorenulls=True).over(after).alias(f"_ap_{c}"),
+            F.last(f"_hv_{c}", ignorenulls=True).over(after).alias(f"_av_{c}"),
+            F.last(f"_hp_{c}", ignorenulls=True).over(after).alias(f"_ap_{c}"),
         ]
     carried = summary.select(*keys, *borders)
 
-    in_block = Window.partitionBy(*keys).orderBy(pos)
-    so_far = in_block.rowsBetween(Window.unboundedPreceding, 0)
-    to_come = in_block.rowsBetween(0, Window.unboundedFollowing)
+    in_block = Window.partitionBy(*keys)
+    so_far = in_block.orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    to_come = in_block.orderBy(F.desc(pos)).rowsBetween(Window.unboundedPreceding, 0)
     near = {}
     for c in columns:
         near[f"_pv_{c}"] = F.last(c, ignorenulls=True).over(so_far)
         near[f"_pp_{c}"] = F.last(at[c], ignorenulls=True).over(so_far)
-        near[f"_nv_{c}"] = F.first(c, ignorenulls=True).over(to_come)
-        near[f"_np_{c}"] = F.first(at[c], ignorenulls=True).over(to_come)
+        near[f"_nv_{c}"] = F.last(c, ignorenulls=True).over(to_come)
+        near[f"_np_{c}"] = F.last(at[c], ignorenulls=True).over(to_come)
     joined = blocked.withColumns(near).join(carried, keys)
 
     def filled(c: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,27 +48,30 @@ def priced_steps(
 
 
 def _replay(budget: float):
-    """One account's steps in one slice, from the state at the slice's start."""
-
-    def run(steps: pd.DataFrame) -> pd.DataFrame:
-        steps = steps.sort_values("pos")
-        cash, held = float(steps["cash0"].iloc[0]), float(steps["held0"].iloc[0])
-        out = []
-        for price, after, action, final in zip(
-            steps["price"], steps["next_price"], steps["action"], steps["final"]
-        ):
-            before = cash + held * price
-            cost = LOT * price
-            refused = (action == BUY and cash < cost) or (action == SELL and held < LOT)
-            if not refused and action == BUY:
-                cash, held = cash - cost, held + LOT
-            elif not refused and action == SELL:
-                cash, held = cash + cost, held - LOT
-            base = budget if final else before
-            out.append((refused, cash, held, (cash + held * after) / base if base else None))
-        result = steps[["account", "slice", "pos"]].copy()
-        result[["refused", "cash", "position", "reward"]] = pd.DataFrame(out, index=steps.index)
-        return result
+    """Replay batches of steps sorted by account and position, keeping only the running state."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        account, cash, held = None, budget, 0.0
+        for batch in batches:
+            refusals, cashes, positions, rewards = [], [], [], []
+            columns = ("account", "price", "next_price", "action", "final", "cash0", "held0")
+            for who, price, after, action, final, cash0, held0 in zip(*(batch[c] for c in columns)):
+                if who != account:
+                    account, cash, held = who, cash0, held0
+                base = budget if final else cash + held * price
+                cost = LOT * price
+                refused = (action == BUY and cash < cost) or (action == SELL and held < LOT)
+                if action == BUY and not refused:
+                    cash, held = cash - cost, held + LOT
+                elif action == SELL and not refused:
+                    cash, held = cash + cost, held - LOT
+                refusals.append(refused)
+                cashes.append(cash)
+                positions.append(held)
+                rewards.append((cash + held * after) / base if base else None)
+            yield batch[["account", "slice", "pos"]].assign(
+                refused=refusals, cash=cashes, position=positions, reward=rewards
+            )
 
     return run
 
@@ -88,8 +93,8 @@ def replay(
 
     Whether an order is refused depends on all orders before it, so steps cannot be replayed out of
     order. Time is cut into slices instead: each round replays one slice of all accounts and writes
-    it together with the accounts' states, from which the next round starts. A group in a task is
-    one account's part of one slice, never a whole history.
+    it together with the accounts' states, from which the next round starts. A task passes over its
+    accounts' part of one slice in order and holds no more than a batch of it.
     """
     spark = orders.sparkSession
     base = new_path(spark, "ledger")
@@ -113,9 +118,10 @@ def replay(
             started = todo.withColumns({"cash0": F.lit(budget), "held0": F.lit(0.0)})
         else:
             started = todo.join(state, "account", "left").na.fill({"cash0": budget, "held0": 0.0})
-        replayed = started.select(
+        sorted_steps = started.select(
             "account", "slice", "pos", "price", "next_price", "action", "final", "cash0", "held0"
-        ).groupBy("account").applyInPandas(_replay(budget), schema)
+        ).repartition("account").sortWithinPartitions("account", "pos")
+        replayed = sorted_steps.mapInPandas(_replay(budget), schema)
         path = f"{base}/replayed/{n}"
         replayed.write.parquet(path)
         done = spark.read.schema(schema).parquet(path)

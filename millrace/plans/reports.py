@@ -15,6 +15,7 @@ from millrace.sources.tables import table
 MIN_RATINGS = 30
 SHARDS = 6
 BUDGET = 100.0
+SLICE_DAYS = 15
 
 
 def _ratings(spark, folder):
@@ -84,8 +85,8 @@ def ledger_replay(spark, folder):
         F.col("event_type") == "click", ledger.SELL
     ).otherwise(2)
     orders = events.withColumn("action", action)
-    week = F.floor(F.unix_timestamp("ts") / F.lit(7 * 86400))
-    replayed = ledger.replay(orders, "user_id", ["ts", "event_id"], "value", "action", week, BUDGET)
+    slices = F.floor(F.unix_timestamp("ts") / F.lit(SLICE_DAYS * 86400))
+    replayed = ledger.replay(orders, "user_id", ["ts", "event_id"], "value", "action", slices, BUDGET)
     return replayed.select(
         "user_id", "event_id", F.col("action").cast("bigint").alias("action"),
         F.col("refused").cast("bigint").alias("refused"), "cash", "position", "reward",
