@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.text import bind
 from millrace.operators.shingles import shingle_hashes
 from millrace.operators.skew import attach, pairs_within
+from millrace.session import stage
 
 # Guards products such as 0.8 * 15 = 12.000000000000002 when they bound counts from below.
 EPS = 1e-9
@@ -36,11 +38,14 @@ def prefixes(rows: DataFrame, threshold: float) -> DataFrame:
     of a single text come first in the order but meet nobody: only their number matters, and they
     leave before the shuffle by text.
     """
-    shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
+    freq = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    # Stored, as the join below looks at the frequencies three times.
+    shared = stage(freq.where(F.col("df") > 1), "token-frequencies")
     kept = attach(rows, shared, ["h"], row_id="id", freq="df")
-    of_text = Window.partitionBy("id")
-    lone = F.col("n") - F.count(F.lit(1)).over(of_text)
-    pos = lone + F.row_number().over(of_text.orderBy("df", "h"))
+    rarest_first = Window.partitionBy("id").orderBy("df", "h")
+    whole = rarest_first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    lone = F.col("n") - F.count(F.lit(1)).over(whole)
+    pos = lone + F.row_number().over(rarest_first)
     length = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(EPS)) + 1
     return kept.withColumn("pos", pos).where(F.col("pos") <= length)
 
@@ -72,17 +77,21 @@ def candidates(prefix: DataFrame, threshold: float) -> DataFrame:
 def jaccard_pairs(texts: DataFrame, threshold: float = 0.8, k: int = 10) -> DataFrame:
     """``(id1, id2, score)``: all pairs ``id1 < id2`` with Jaccard similarity ``>= threshold``.
 
-    Expects distinct texts (``distinct_texts``). Only the texts of candidate pairs are shingled
-    again, for the exact score.
+    Expects distinct texts (``distinct_texts``). The prefixes, which the self join reads on both
+    sides, are stored between; only the texts of candidate pairs are shingled again, for the exact
+    score.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
-    pairs = candidates(prefixes(token_rows(token_sets(texts, k)), threshold), threshold)
+    prefix = stage(prefixes(token_rows(token_sets(texts, k)), threshold), "prefixes")
+    pairs = candidates(prefix, threshold)
     involved = pairs.select(F.explode(F.array("id1", "id2")).alias("id")).distinct()
     sets = token_sets(texts.join(involved, "id", "left_semi"), k)
     first = sets.select(F.col("id").alias("id1"), F.col("tokens").alias("t1"))
     second = sets.select(F.col("id").alias("id2"), F.col("tokens").alias("t2"))
-    common = F.size(F.array_intersect("t1", "t2"))
-    score = common.cast("double") / (F.size("t1") + F.size("t2") - common)
+    score = bind(
+        F.size(F.array_intersect("t1", "t2")),
+        lambda common: common.cast("double") / (F.size("t1") + F.size("t2") - common),
+    )
     scored = pairs.join(first, "id1").join(second, "id2").select("id1", "id2", score.alias("score"))
     return scored.where(F.col("score") >= F.lit(threshold))

@@ -70,34 +70,37 @@ def pairs_within(
     condition is part of the join: a pair that fails it never leaves the task that looks at it.
     """
     parts = parts_of(F.col(size), rows_per_cell)
-    cut = rows.select(
-        *keys,
-        parts.alias("_parts"),
-        part_of(F.col(row_id), parts).alias("_part"),
-        F.struct(F.col(row_id).alias("id"), *[F.col(c) for c in carry]).alias("row"),
+    part = part_of(F.col(row_id), parts)
+    row = F.struct(F.col(row_id).alias("id"), *[F.col(c) for c in carry])
+    # A row of part p meets part i in the cell of both; there the lower part leads, the other follows.
+    cells = F.transform(
+        F.sequence(F.lit(0), F.col("_parts") - 1),
+        lambda i: F.struct(
+            F.least(i, F.col("_part")).alias("from"),
+            F.greatest(i, F.col("_part")).alias("to"),
+            F.signum(i - F.col("_part")).cast("int").alias("role"),
+        ),
     )
-    left = cut.select(
-        *keys,
-        F.col("_part").alias("_from"),
-        F.explode(F.sequence(F.col("_part"), F.col("_parts") - 1)).alias("_to"),
-        F.col("row").alias("a"),
+    cut = rows.select(*keys, parts.alias("_parts"), part.alias("_part"), row.alias("row"))
+    sent = cut.select(*keys, F.explode_outer(cells).alias("_cell"), "row").select(
+        *keys, F.col("_cell.from").alias("_from"), F.col("_cell.to").alias("_to"),
+        F.col("_cell.role").alias("_role"), "row",
     )
-    right = cut.select(
-        *keys,
-        F.explode(F.sequence(F.lit(0), F.col("_part"))).alias("_from"),
-        F.col("_part").alias("_to"),
-        F.col("row").alias("b"),
-    )
-    a, b = F.col("a"), F.col("b")
+    left, right = sent.alias("l"), sent.alias("r")
+    a, b = F.col("l.row"), F.col("r.row")
+    # Leading rows have role 1, following ones -1, and 0 (both) in the cell of one part. Roles are
+    # compared rather than tested one by one: a filter on one side would give the two sides
+    # different plans, and the rows would be computed and shuffled twice instead of once.
+    one, other = F.col("l._role"), F.col("r._role")
+    roles = (one > other) | ((one == 0) & (other == 0))
     # Within one part each pair is met twice and kept once; across parts it is met once.
-    once = (left["_from"] < left["_to"]) | (a["id"] < b["id"])
-    on = once & (a["id"] != b["id"]) & condition(a, b)
+    once = (F.col("l._from") < F.col("l._to")) | (a["id"] < b["id"])
+    on = roles & once & (a["id"] != b["id"]) & condition(a, b)
     for key in [*keys, "_from", "_to"]:
-        on = on & (left[key] == right[key])
-    met = left.join(right, on).select(*[left[k].alias(k) for k in keys], "a", "b")
+        on = on & (F.col(f"l.{key}") == F.col(f"r.{key}"))
     ordered = a["id"] < b["id"]
-    return met.select(
-        *keys,
+    return left.join(right, on).select(
+        *[F.col(f"l.{k}").alias(k) for k in keys],
         F.when(ordered, a).otherwise(b).alias("a"),
         F.when(ordered, b).otherwise(a).alias("b"),
     )
