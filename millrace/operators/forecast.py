@@ -24,19 +24,20 @@ def normalised(windows: DataFrame, features: list[str], base: str) -> DataFrame:
 def split_windows(windows: DataFrame, series: list[str], ratio: float = 0.7) -> DataFrame:
     """Add ``part`` and ``part_window``, a window's number within its part.
 
-    The cut is ``floor(w * ratio)`` of a series' w windows; windows are numbered from 0 without gaps,
-    so their number is one more than the last, and one row per series tells it.
+    The cut is ``floor(w * ratio)`` of a series' w windows. Windows of a numbered frame bring w along;
+    for others it is one more than the last window's number, and one row per series tells it.
     """
-    totals = windows.groupBy(*series).agg((F.max("window") + 1).alias("_w"))
-    cut = F.floor(F.col("_w") * F.lit(ratio))
-    joined = windows.join(totals, series).withColumn("_cut", cut)
+    if "n_windows" not in windows.columns:
+        totals = windows.groupBy(*series).agg((F.max("window") + 1).alias("n_windows"))
+        windows = windows.join(totals, series)
+    joined = windows.withColumn("_cut", F.floor(F.col("n_windows") * F.lit(ratio)))
     test = F.col("window") >= F.col("_cut")
     return joined.withColumns(
         {
             "part": F.when(test, "test").otherwise("train"),
             "part_window": F.when(test, F.col("window") - F.col("_cut")).otherwise(F.col("window")),
         }
-    ).drop("_w", "_cut")
+    ).drop("n_windows", "_cut")
 
 
 def forecast_pairs(windows: DataFrame, series: list[str], prediction: Column, n_out: int) -> DataFrame:

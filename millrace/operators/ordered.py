@@ -102,13 +102,15 @@ def sliding_windows(
 
     Returns ``(series..., window, x_<feature>..., y, steps)``, arrays in row order, from a frame with
     ``pos``; ``y`` and ``steps`` hold the target and step column of the rows that follow. Only full
-    windows are returned. A row near a block's start is sent to the block before as well, so that
+    windows are returned; ``n_windows`` counts a series' windows if the frame has ``series_rows``. A row near a block's start is sent to the block before as well, so that
     windows crossing the border are complete in the block they start in.
     """
     span = n_in + n_out
     home = F.floor(F.col("pos") / F.lit(block_rows))
     spill = (F.col("pos") % block_rows < span - 1) & (home > 0)
-    columns = list(dict.fromkeys([*features, *([target] if target else []), *([step] if step else [])]))
+    counted = ["series_rows"] if "series_rows" in numbered.columns else []
+    columns = [*features, *([target] if target else []), *([step] if step else []), *counted]
+    columns = list(dict.fromkeys(columns))
     sent = numbered.select(
         *series,
         "pos",
@@ -122,7 +124,8 @@ def sliding_windows(
         rows = F.collect_list(F.struct(F.col(column).alias("v"))).over(ahead.rowsBetween(start, end))
         return F.transform(rows, lambda r: r["v"])
 
-    outputs = [gather(f, 0, n_in - 1).alias(f"x_{f}") for f in features]
+    outputs = [(F.col(c) - F.lit(span - 1)).alias("n_windows") for c in counted]
+    outputs += [gather(f, 0, n_in - 1).alias(f"x_{f}") for f in features]
     if n_out and target:
         outputs.append(gather(target, n_in, span - 1).alias("y"))
     if n_out and step:
