@@ -54,3 +54,26 @@ def pair_quality(exact: DataFrame, approx: DataFrame, weights: DataFrame) -> Dat
     return counted.select(
         "*", share("exact_pairs").alias("recall"), share("approx_pairs").alias("precision")
     )
+
+
+def partners(pairs: DataFrame, links: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(id, partner)``: every document similar to the documents asked for in ``ids``.
+
+    Resolves pairs of distinct texts and the copies linked to them (``copy_links``) to documents,
+    for the ids asked for only: one row per partner of an asked document.
+    """
+    asked = ids.select(F.col("id").alias("doc")).distinct()
+    text_of = asked.join(links.select(F.col("copy_id").alias("doc"), "id"), "doc", "left").select(
+        "doc", F.coalesce("id", "doc").alias("text_id")
+    )
+    both_ways = F.array(
+        F.struct(F.col("id1").alias("text_id"), F.col("id2").alias("other")),
+        F.struct(F.col("id2").alias("text_id"), F.col("id1").alias("other")),
+    )
+    similar = text_of.join(pairs.select(F.inline(both_ways)), "text_id").select("doc", "other")
+    texts = similar.unionByName(text_of.select("doc", F.col("text_id").alias("other")))
+    copies = texts.join(links.select(F.col("id").alias("other"), "copy_id"), "other")
+    found = texts.select("doc", F.col("other").alias("partner")).unionByName(
+        copies.select("doc", F.col("copy_id").alias("partner"))
+    )
+    return found.where(F.col("doc") != F.col("partner")).select(F.col("doc").alias("id"), "partner")

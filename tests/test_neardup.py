@@ -127,3 +127,17 @@ def test_recall_and_precision_on_documents(spark):
 
     row = neardup.lsh_quality(spark, "/root/testdata/sf0.01").first()
     assert row.exact_pairs == 161 and row.recall >= 0.9 and row.precision >= 0.9
+
+
+def test_partners_resolve_to_documents(spark):
+    draw = random.Random(2)
+    base = ["abcdefgh", "abcdefgi", "abcdefgh", "zzzzyyyy", "abcdefgh", "qrstuvwx", "qrstuvwx"]
+    docs = list(enumerate(base))
+    draw.shuffle(docs)
+    df = frame(spark, docs)
+    pairs = jaccard.jaccard_pairs(shingles.distinct_texts(df), 0.5, K)
+    asked = df.where("id != 4").select("id")
+    got = sorted(map(tuple, quality.partners(pairs, shingles.copy_links(df), asked).collect()))
+    full = exact_pairs(docs, 0.5)
+    expected = sorted((i, j) for p in full for i, j in (p, p[::-1]) if i != 4)
+    assert got == expected
