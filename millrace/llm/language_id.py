@@ -56,10 +56,18 @@ def _count(batches):
 def train(labelled: DataFrame, label: str = "lang", text: str = "text", key: str = "doc_id",
           sample_docs: int = SAMPLE_DOCS, max_contexts: int = MAX_CONTEXTS) -> dict:
     """Frozen counts of the labelled rows; see the module for the bounds."""
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id", "text"), "id")
+    order = Window.partitionBy("label").orderBy("draw", "id")
+    usable = labelled.select(F.col(label).alias("label"), F.col(text).alias("text"), F.col(key).alias("id")).where(
+        F.col("label").isNotNull() & F.col("text").isNotNull()
+    )
+    counts = usable.groupBy("label").count().collect()  # one row per language
+    if not counts:
+        return {"id": uuid.uuid4().hex, "labels": []}
+    # A draw by hash passes about four times the sample of a large label, so that few rows are ranked.
+    limits = F.create_map(*[F.lit(x) for r in counts for x in (r["label"], 4.0 * sample_docs / r["count"])])
     sample = (
-        labelled.select(F.col(label).alias("label"), F.col(text).alias("text"), F.col(key).alias("id"))
-        .where(F.col("label").isNotNull() & F.col("text").isNotNull())
+        usable.withColumn("draw", F.pmod(F.xxhash64("id", "text"), F.lit(1 << 31)) / F.lit(float(1 << 31)))
+        .where(F.col("draw") < limits[F.col("label")])
         .withColumn("at", F.row_number().over(order))
         .where(F.col("at") <= sample_docs)
         .select("label", "text")

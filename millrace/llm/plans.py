@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import language_id, minhash_dedup
+from millrace.llm import language_id, license_scan, minhash_dedup, mixing, packing, passages, quality, secret_scan, token_files, vector_graph
 from millrace.llm.common import WORD, documents
+from millrace.llm.tokens import tokenizer_path
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -23,9 +24,58 @@ def op4_minhash_dedup(spark, folder):
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op1_license_scan(spark, folder):
+    return license_scan.licenses(documents(spark, folder).select("doc_id", "text"))
+
+
+def op2_packing(spark, folder):
+    return packing.packed(documents(spark, folder), tokenizer_path(), with_ids=False)
+
+
+def op5_passages(spark, folder):
+    return passages.shared_passages(documents(spark, folder))
+
+
+def op6_secret_scan(spark, folder):
+    found = secret_scan.scan(documents(spark, folder).select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["rank"] < len(secret_scan.BASE))
+    of_kind = lambda i: F.size(F.filter("secrets", lambda s: s["rank"] == i)).cast("bigint")
+    return found.select(
+        "doc_id", of_kind(0).alias("n_assign"), of_kind(1).alias("n_access"), of_kind(2).alias("n_hex"),
+        F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("secrets")).alias("spans"),
+    )
+
+
+def op7_quality(spark, folder):
+    found = quality.judged(documents(spark, folder).select("doc_id", "text", "lang", "source"))
+    return found.select("doc_id", *[f"quality.{x}" for x in [*quality.STATISTICS, "base_failed", "kept"]])
+
+
+def op8_mixing(spark, folder):
+    return mixing.taken(documents(spark, folder)).withColumnRenamed("id", "doc_id")
+
+
+def op9_token_files(spark, folder):
+    files = token_files.write_files(documents(spark, folder), tokenizer_path())
+    return token_files.read_files(files, with_ids=False)
+
+
+def op10_vector_graph(spark, folder):
+    table = documents(spark, folder, "embeddings")
+    return vector_graph.nearest_neighbours(table, vector_graph.index_queries(table))
+
+
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
+    "op2_packing": op2_packing,
     "op3_language_id": op3_language_id,
     "op4_minhash_dedup": op4_minhash_dedup,
+    "op5_passages": op5_passages,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_quality": op7_quality,
+    "op8_mixing": op8_mixing,
+    "op9_token_files": op9_token_files,
+    "op10_vector_graph": op10_vector_graph,
 }
 
 ORACLE = {
