@@ -1,11 +1,17 @@
-"""A document pipeline: language, near-duplicates, secrets, mixture, packing. Stages follow as operators are added."""
+"""A document pipeline: language, near-duplicates, secrets, mixture, packing.
+
+Each stage takes a table with the columns of ``documents`` and all but the last return one. Null and repeated rows, ties
+and empty tables are handled as the operators' own descriptions say.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import language_id, minhash_dedup
+from millrace.llm import language_id, minhash_dedup, mixing, packing, secret_scan
 from millrace.llm.common import documents
+from millrace.llm.tokens import tokenizer_path
+from millrace.session import stage as stored
 
 #: Bits per byte of the uniform code: a text that no learned language codes in fewer is in none of them.
 UNIFORM_BITS = 8
@@ -26,13 +32,39 @@ def near_duplicates(spark, docs, sf_dir):
     return docs.join(copies, docs["doc_id"] == copies["_id"], "left_anti")
 
 
-STAGES = [("languages", languages), ("near_duplicates", near_duplicates)]
+def secrets(spark, docs, sf_dir):
+    """Replace secrets by a mark; every document stays. ``n_chars`` follows the text."""
+    found = secret_scan.scan(docs, column="_secrets")
+    text = secret_scan.redacted(F.col("text"), F.col("_secrets"))
+    return _with_length(found.withColumn("text", text)).drop("_secrets")
+
+
+def mixture(spark, docs, sf_dir):
+    """The sources' target weights: a row per document and pass, with the words that the mix takes."""
+    return _with_length(mixing.mixed_documents(docs))
+
+
+def sequences(spark, docs, sf_dir):
+    """Training sequences of 2048 ids, with the ids."""
+    return packing.packed(docs, tokenizer_path(), with_ids=True)
+
+
+def _with_length(docs):
+    return docs.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else docs
+
+
+STAGES = [
+    ("languages", languages), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixture", mixture), ("sequences", sequences),
+]
+#: Language models, hashed signatures and a tokenizer have no SQL form; tests compare each stage with brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """All stages over ``documents``."""
+    """All stages over ``documents``, each over the stored result of the one before."""
     docs = documents(spark, sf_dir)
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, step in STAGES:
+        docs = step(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = stored(docs, name)
     return docs

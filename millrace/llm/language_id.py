@@ -99,7 +99,7 @@ def _tables(model: dict):
     if model["id"] in _TABLES:
         return _TABLES[model["id"]]
     gram, n, label = model["gram"], model["n"], model["label"]
-    seen = np.unique(gram & 255)
+    seen = np.unique([(gram >> shift) & 255 for shift in (0, 8, 16, 24)])
     size = len(seen) + 1  # the last symbol stands for bytes never seen
     symbol = np.full(256, size - 1, dtype=np.int64)
     symbol[seen] = np.arange(len(seen))
