@@ -29,14 +29,19 @@ def cluster_cost(points: DataFrame, cluster: str, vector: str) -> DataFrame:
 def distinct_points(df: DataFrame, group: str, x: str, block: Column | None = None) -> DataFrame:
     """``(group, m, x, w, sw, swx, swxx)``: distinct values numbered from 1, with running sums.
 
+    The sums are of distances from the group's smallest value: sums of squares of large values such as
+    times would lose the digits that the costs are made of.
+
     Equal values combine before the shuffle, so a group costs its distinct values. ``block`` cuts
     long groups, see ``number_rows``; it is an expression on ``x`` that never decreases with it.
     """
     values = df.where(F.col(x).isNotNull()).groupBy(group, F.col(x).cast("double").alias("x"))
     weighted = values.agg(F.count(F.lit(1)).cast("double").alias("w"))
     numbered = number_rows(weighted, [group], ["x"], F.lit(0) if block is None else block)
-    terms = numbered.withColumn("_wx", F.col("w") * F.col("x")).withColumn(
-        "_wxx", F.col("w") * F.col("x") * F.col("x")
+    least = weighted.groupBy(group).agg(F.min("x").alias("_least"))
+    away = F.col("x") - F.col("_least")
+    terms = numbered.join(least, group).withColumn("_wx", F.col("w") * away).withColumn(
+        "_wxx", F.col("w") * away * away
     )
     summed = running_totals(terms, [group], {"sw": "w", "swx": "_wx", "swxx": "_wxx"})
     return summed.select(group, (F.col("pos") + 1).alias("m"), "x", "w", "sw", "swx", "swxx")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.ordered import explode_range
+from millrace.operators.ordered import along_blocks, block_key, explode_range
 
 
 def forward_fill(
@@ -16,20 +16,19 @@ def forward_fill(
     Within a block by a window; across blocks each block's last value is carried over, which takes
     one row per block.
     """
-    keys = [*series, "_block"]
-    blocked = df.withColumn("_block", block)
-    key = F.struct(*order)
-    tails = blocked.groupBy(*keys).agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), key)).alias(f"_tail_{c}") for c in columns]
+    blocked = df.withColumn("_key", block_key(series, block))
+    at = F.struct(*order)
+    tails = blocked.groupBy("_key").agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"_tail_{c}") for c in columns]
     )
-    earlier = Window.partitionBy(*series).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = along_blocks(series).rowsBetween(Window.unboundedPreceding, -1)
     carried = tails.select(
-        *keys, *[F.last(f"_tail_{c}", ignorenulls=True).over(earlier).alias(f"_in_{c}") for c in columns]
+        "_key", *[F.last(f"_tail_{c}", ignorenulls=True).over(earlier).alias(f"_in_{c}") for c in columns]
     )
-    so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = blocked.withColumns({c: F.last(c, ignorenulls=True).over(so_far) for c in columns})
-    filled = local.join(carried, keys).withColumns({c: F.coalesce(c, f"_in_{c}") for c in columns})
-    return filled.drop("_block", *[f"_in_{c}" for c in columns])
+    filled = local.join(carried, "_key").withColumns({c: F.coalesce(c, f"_in_{c}") for c in columns})
+    return filled.drop("_key", *[f"_in_{c}" for c in columns])
 
 
 def constant_fill(df: DataFrame, columns: list[str], value: float = 0.0) -> DataFrame:
@@ -60,7 +59,10 @@ def grid_fill(
     grid = laid_out.select(
         *series, F.timestamp_micros(F.col("_first") + F.col("tick") * F.lit(step)).alias(ts), "tick"
     )
-    return grid.join(df, [*series, ts], "left")
+    # A struct key, because a NULL series has a grid like any other.
+    key = F.struct(*[F.col(c) for c in [*series, ts]])
+    known = df.withColumn("_key", key).drop(*series, ts)
+    return grid.withColumn("_key", key).join(known, "_key", "left").drop("_key")
 
 
 def interpolate(
@@ -72,8 +74,7 @@ def interpolate(
     The nearest known value on either side comes from the row's own block, else from the nearest
     block that has one.
     """
-    keys = [*series, "_block"]
-    blocked = df.withColumn("_block", F.floor(F.col(pos) / F.lit(block_rows)))
+    blocked = df.withColumn("_key", block_key(series, F.floor(F.col(pos) / F.lit(block_rows))))
     at = {c: F.when(F.col(c).isNotNull(), F.col(pos)) for c in columns}
     ends = []
     for c in columns:
@@ -83,12 +84,12 @@ def interpolate(
             F.max_by(c, at[c]).alias(f"_tv_{c}"),
             F.max(at[c]).alias(f"_tp_{c}"),
         ]
-    summary = blocked.groupBy(*keys).agg(*ends)
+    summary = blocked.groupBy("_key").agg(*ends)
     # "What comes next" is "what came last" in descending order: a frame that ends at the current
     # row is kept up as rows go by, one that starts there is evaluated anew for each row.
-    along = Window.partitionBy(*series)
-    before = along.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    after = along.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    along = along_blocks(series)
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    after = along.orderBy(F.desc("_key._block")).rowsBetween(Window.unboundedPreceding, -1)
     borders = []
     for c in columns:
         borders += [
@@ -97,9 +98,9 @@ def interpolate(
             F.last(f"_hv_{c}", ignorenulls=True).over(after).alias(f"_av_{c}"),
             F.last(f"_hp_{c}", ignorenulls=True).over(after).alias(f"_ap_{c}"),
         ]
-    carried = summary.select(*keys, *borders)
+    carried = summary.select("_key", *borders)
 
-    in_block = Window.partitionBy(*keys)
+    in_block = Window.partitionBy("_key")
     so_far = in_block.orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     to_come = in_block.orderBy(F.desc(pos)).rowsBetween(Window.unboundedPreceding, 0)
     near = {}
@@ -108,7 +109,7 @@ def interpolate(
         near[f"_pp_{c}"] = F.last(at[c], ignorenulls=True).over(so_far)
         near[f"_nv_{c}"] = F.last(c, ignorenulls=True).over(to_come)
         near[f"_np_{c}"] = F.last(at[c], ignorenulls=True).over(to_come)
-    joined = blocked.withColumns(near).join(carried, keys)
+    joined = blocked.withColumns(near).join(carried, "_key")
 
     def filled(c: str) -> Column:
         left_v, left_p = F.coalesce(f"_pv_{c}", f"_bv_{c}"), F.coalesce(f"_pp_{c}", f"_bp_{c}")

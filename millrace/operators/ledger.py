@@ -26,18 +26,20 @@ def priced_steps(
     than a slice.
     """
     rows = orders.select(
+        # The key stands for the account in joins, where a NULL account would leave.
+        F.coalesce(F.concat(F.lit("="), F.col(account).cast("string")), F.lit("?")).alias("key"),
         F.col(account).alias("account"), *order, F.col(price).alias("price"), F.col(action).alias("action"),
         slice_of.alias("slice"),
     )
-    opening = rows.groupBy("account", "slice").agg(F.min_by("price", F.struct(*order)).alias("_open"))
+    opening = rows.groupBy("key", "slice").agg(F.min_by("price", F.struct(*order)).alias("_open"))
     following = opening.select(
-        "account", "slice",
-        F.lead("_open").over(Window.partitionBy("account").orderBy("slice")).alias("_after"),
+        "key", "slice",
+        F.lead("_open").over(Window.partitionBy("key").orderBy("slice")).alias("_after"),
     )
-    numbered = number_rows(rows, ["account"], order, F.col("slice"))
-    within = Window.partitionBy("account", "slice").orderBy("pos")
+    numbered = number_rows(rows, ["key"], order, F.col("slice"))
+    within = Window.partitionBy("key", "slice").orderBy("pos")
     led = numbered.withColumn("next_price", F.lead("price").over(within))
-    joined = led.join(following, ["account", "slice"])
+    joined = led.join(following, ["key", "slice"])
     steps = joined.where(F.col("pos") < F.col("series_rows") - 1)
     return steps.withColumns(
         {
@@ -54,7 +56,7 @@ def _replay(budget: float):
         account, cash, held = None, budget, 0.0
         for batch in batches:
             refusals, cashes, positions, rewards = [], [], [], []
-            columns = ("account", "price", "next_price", "action", "final", "cash0", "held0")
+            columns = ("key", "price", "next_price", "action", "final", "cash0", "held0")
             for who, price, after, action, final, cash0, held0 in zip(*(batch[c] for c in columns)):
                 if who != account:
                     account, cash, held = who, cash0, held0
@@ -69,7 +71,7 @@ def _replay(budget: float):
                 cashes.append(cash)
                 positions.append(held)
                 rewards.append((cash + held * after) / base if base else None)
-            yield batch[["account", "slice", "pos"]].assign(
+            yield batch[["key", "slice", "pos"]].assign(
                 refused=refusals, cash=cashes, position=positions, reward=rewards
             )
 
@@ -103,10 +105,9 @@ def replay(
     steps.write.partitionBy("slice").parquet(steps_path)
     stored = spark.read.parquet(steps_path)
 
-    account_type = stored.schema["account"].dataType.simpleString()
     slice_type = stored.schema["slice"].dataType.simpleString()
     schema = (
-        f"account {account_type}, slice {slice_type}, pos bigint, refused boolean, "
+        f"key string, slice {slice_type}, pos bigint, refused boolean, "
         "cash double, position double, reward double"
     )
     # A list of slices, as long as the time range has them.
@@ -117,20 +118,20 @@ def replay(
         if state is None:
             started = todo.withColumns({"cash0": F.lit(budget), "held0": F.lit(0.0)})
         else:
-            started = todo.join(state, "account", "left").na.fill({"cash0": budget, "held0": 0.0})
+            started = todo.join(state, "key", "left").na.fill({"cash0": budget, "held0": 0.0})
         sorted_steps = started.select(
-            "account", "slice", "pos", "price", "next_price", "action", "final", "cash0", "held0"
-        ).repartition("account").sortWithinPartitions("account", "pos")
+            "key", "slice", "pos", "price", "next_price", "action", "final", "cash0", "held0"
+        ).repartition("key").sortWithinPartitions("key", "pos")
         replayed = sorted_steps.mapInPandas(_replay(budget), schema)
         path = f"{base}/replayed/{n}"
         replayed.write.parquet(path)
         done = spark.read.schema(schema).parquet(path)
         results.append(done)
-        newest = done.groupBy("account").agg(
+        newest = done.groupBy("key").agg(
             F.max_by("cash", "pos").alias("cash0"), F.max_by("position", "pos").alias("held0")
         )
         if state is not None:
-            newest = newest.unionByName(state.join(newest, "account", "left_anti"))
+            newest = newest.unionByName(state.join(newest, "key", "left_anti"))
         newest.write.parquet(f"{state_path}/{n}")
         state = spark.read.schema(newest.schema).parquet(f"{state_path}/{n}")
     if not results:
@@ -138,7 +139,7 @@ def replay(
     replayed = results[0]
     for more in results[1:]:
         replayed = replayed.unionByName(more)
-    full = stored.join(replayed, ["account", "slice", "pos"])
+    full = stored.join(replayed, ["key", "slice", "pos"])
     return full.select(
         F.col("account").alias(account), *order, "action", "refused", "cash", "position", "reward"
     )

@@ -37,7 +37,14 @@ def signatures(
 
 
 def band_keys(sig: Column, r: int, b: int) -> Column:
-    """The bucket keys of a signature's ``b`` bands of ``r`` entries, in band order."""
+    """The bucket keys of a signature's ``b`` bands of ``r`` entries, in band order.
+
+    A signature shorter than ``r * b`` ends the job: its missing bands would all be equal.
+    """
+    if r < 1 or b < 1:
+        raise ValueError(f"bands need r >= 1 and b >= 1, not r = {r} and b = {b}")
+    short = F.concat(F.lit(f"{r} * {b} hashes are needed, a signature has "), F.size(sig).cast("string"))
+    sig = F.when(F.size(sig) >= r * b, sig).otherwise(F.raise_error(short).cast("array<int>"))
     return F.array(
         *[
             hashing.digest60(F.array_join(vectors.block(sig, band, r).cast("array<string>"), ","))

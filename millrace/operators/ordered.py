@@ -15,21 +15,34 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 65_536
 
 
+def block_key(series: list[str], block: Column) -> Column:
+    """Series and block as one struct. Structs with equal fields are equal even if a field is NULL, in
+    windows, groups and joins alike, so a NULL series or order key keeps its rows; and a join on the
+    struct that a window was partitioned by needs no shuffle of its own."""
+    return F.struct(*[F.col(c) for c in series], block.alias("_block"))
+
+
+def along_blocks(series: list[str], key: str = "_key"):
+    """The blocks of one series in order, from rows with a :func:`block_key`."""
+    whole = [F.struct(*[F.col(f"{key}.{c}") for c in series])] if series else [F.lit(0)]
+    return Window.partitionBy(*whole).orderBy(F.col(f"{key}._block"))
+
+
 def number_rows(df: DataFrame, series: list[str], order: list[str], block: Column) -> DataFrame:
     """Add ``pos``, a row's position in its series from 0, and ``series_rows``, the series' length."""
-    blocked = df.withColumn("_block", block)
-    keys = [*series, "_block"]
-    counts = blocked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    in_series = Window.partitionBy(*series) if series else Window.partitionBy(F.lit(0))
-    before = in_series.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocked = df.withColumn("_key", block_key(series, block))
+    counts = blocked.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    blocks = along_blocks(series)
+    before = blocks.rowsBetween(Window.unboundedPreceding, -1)
+    whole = blocks.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = counts.select(
-        *keys,
+        "_key",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-        F.sum("_n").over(in_series).alias("series_rows"),
+        F.sum("_n").over(whole).alias("series_rows"),
     )
-    in_block = Window.partitionBy(*keys).orderBy(*order)
-    numbered = blocked.withColumn("_at", F.row_number().over(in_block)).join(offsets, keys)
-    return numbered.withColumn("pos", F.col("_before") + F.col("_at") - 1).drop("_block", "_at", "_before")
+    in_block = Window.partitionBy("_key").orderBy(*order)
+    numbered = blocked.withColumn("_at", F.row_number().over(in_block)).join(offsets, "_key")
+    return numbered.withColumn("pos", F.col("_before") + F.col("_at") - 1).drop("_key", "_at", "_before")
 
 
 def explode_range(df: DataFrame, low: Column, high: Column, name: str, block: int = BLOCK_ROWS) -> DataFrame:
@@ -50,17 +63,16 @@ def running_totals(
     numbered: DataFrame, series: list[str], columns: dict[str, str], block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Add running sums along ``pos``: ``columns`` maps a new name to the column it adds up."""
-    keys = [*series, "_block"]
-    blocked = numbered.withColumn("_block", F.floor(F.col("pos") / F.lit(block_rows)))
-    sums = blocked.groupBy(*keys).agg(*[F.sum(c).alias(f"_s_{new}") for new, c in columns.items()])
-    before = Window.partitionBy(*series).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocked = numbered.withColumn("_key", block_key(series, F.floor(F.col("pos") / F.lit(block_rows))))
+    sums = blocked.groupBy("_key").agg(*[F.sum(c).alias(f"_s_{new}") for new, c in columns.items()])
+    before = along_blocks(series).rowsBetween(Window.unboundedPreceding, -1)
     carried = sums.select(
-        *keys, *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_in_{n}") for n in columns]
+        "_key", *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_in_{n}") for n in columns]
     )
-    so_far = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy("_key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     local = blocked.withColumns({n: F.sum(c).over(so_far) for n, c in columns.items()})
-    joined = local.join(carried, keys).withColumns({n: F.col(n) + F.col(f"_in_{n}") for n in columns})
-    return joined.drop("_block", *[f"_in_{n}" for n in columns])
+    joined = local.join(carried, "_key").withColumns({n: F.col(n) + F.col(f"_in_{n}") for n in columns})
+    return joined.drop("_key", *[f"_in_{n}" for n in columns])
 
 
 def every_kth(numbered: DataFrame, k: int) -> DataFrame:
@@ -102,12 +114,12 @@ def sliding_windows(
 
     Returns ``(series..., window, x_<feature>..., y, steps)``, arrays in row order, from a frame with
     ``pos``; ``y`` and ``steps`` hold the target and step column of the rows that follow. Only full
-    windows are returned; ``n_windows`` counts a series' windows if the frame has ``series_rows``. A row near a block's start is sent to the block before as well, so that
-    windows crossing the border are complete in the block they start in.
+    windows are returned; ``n_windows`` counts a series' windows if the frame has ``series_rows``. A row
+    is sent to every block in which a window that holds it starts, so a span may be longer than a block.
     """
     span = n_in + n_out
     home = F.floor(F.col("pos") / F.lit(block_rows))
-    spill = (F.col("pos") % block_rows < span - 1) & (home > 0)
+    first = F.greatest(F.floor((F.col("pos") - F.lit(span - 1)) / F.lit(block_rows)), F.lit(0))
     counted = ["series_rows"] if "series_rows" in numbered.columns else []
     columns = [*features, *([target] if target else []), *([step] if step else []), *counted]
     columns = list(dict.fromkeys(columns))
@@ -115,7 +127,7 @@ def sliding_windows(
         *series,
         "pos",
         *columns,
-        F.explode(F.when(spill, F.array(home - 1, home)).otherwise(F.array(home))).alias("_block"),
+        F.explode(F.sequence(first, home)).alias("_block"),
     )
     ahead = Window.partitionBy(*series, "_block").orderBy("pos")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.skew import ROWS_PER_PART, part_of, parts_of
 from millrace.operators.tfidf import doc_freq, postings, term_freq, tokenised, weights
+from millrace.session import stage
 
 # Scores are summed in no fixed order; ranking on nine decimals makes equal documents tie.
 SCORE_DECIMALS = 9
@@ -79,6 +80,10 @@ def search_corpus(
 
 
 def hydrate(found: DataFrame, corpus: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
-    """Add the documents' own fields and ``line``, their line in a file with one header line."""
+    """Add the documents' own fields and ``line``, their line in a file with one header line.
+
+    What was found is at most ``k`` rows per query; it is stored first, so that its size is known when the
+    join is planned: below the session's broadcast threshold no document is shuffled.
+    """
     stored = corpus.select(F.col(id_col).alias("doc_id"), *fields)
-    return found.join(stored, "doc_id").withColumn("line", F.col("doc_id") + 1)
+    return stage(found, "found").join(stored, "doc_id").withColumn("line", F.col("doc_id") + 1)

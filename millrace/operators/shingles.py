@@ -48,14 +48,27 @@ def shingle_hashes(text: Column, k: int = 10) -> Column:
     return F.array_distinct(tx.bind(F.encode(text, FIXED_WIDTH), hashes))
 
 
+def _in_row(text: Column, k: int, of) -> Column:
+    """The distinct values of ``of(shingle)`` for a text's shingles, computed inside the row."""
+
+    def values(wide: Column) -> Column:
+        last = (F.octet_length(wide) / WIDTH).cast("int") - k
+        positions = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(
+            positions, lambda at: of(F.decode(F.substring(wide, at * WIDTH + 1, F.lit(k * WIDTH)), FIXED_WIDTH))
+        )
+
+    return F.array_distinct(tx.bind(F.encode(text, FIXED_WIDTH), values))
+
+
 def shingle_sets(docs: DataFrame, k: int = 10) -> DataFrame:
-    """``(id, shingle)`` without repeats."""
-    return shingle_rows(docs, k).distinct()
+    """``(id, shingle)`` without repeats, one row per document and shingle; no shuffle."""
+    return docs.select("id", F.explode(_in_row(F.col("text"), k, lambda s: s)).alias("shingle"))
 
 
 def hashed_shingles(docs: DataFrame, hash_expr, k: int = 10) -> DataFrame:
-    """``(id, x)``: the distinct hashes of a text's shingles."""
-    return shingle_rows(docs, k).select("id", hash_expr(F.col("shingle")).alias("x")).distinct()
+    """``(id, hashes)``: the distinct hashes of a text's shingles as an array; no shuffle."""
+    return docs.select("id", _in_row(F.col("text"), k, hash_expr).alias("hashes"))
 
 
 def cleaned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -39,8 +39,10 @@ def shingles(spark, folder):
 
 def shingle_hash(spark, folder):
     hashed = sh.hashed_shingles(_cleaned(spark, folder), hashing.base_hash, K)
-    return hashed.groupBy("id").agg(
-        F.count("x").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"), F.sum("x").alias("total")
+    total = F.aggregate("hashes", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return hashed.where(F.size("hashes") > 0).select(
+        "id", F.size("hashes").cast("bigint").alias("n"), F.array_min("hashes").alias("least"),
+        F.array_max("hashes").alias("most"), total.alias("total"),
     )
 
 

@@ -215,9 +215,10 @@ ORACLE = {
         FROM r WHERE rn > 0""",
     "kmeans1d": """
         WITH v AS (SELECT p_brand, p_size::DOUBLE AS x, count(*)::DOUBLE AS w FROM part GROUP BY 1, 2),
+        y AS (SELECT *, x - min(x) OVER (PARTITION BY p_brand) AS y FROM v),
         p AS (SELECT p_brand, x, row_number() OVER o AS m, sum(w) OVER o AS sw,
-                     sum(w * x) OVER o AS swx, sum(w * x * x) OVER o AS swxx
-              FROM v WINDOW o AS (PARTITION BY p_brand ORDER BY x ROWS UNBOUNDED PRECEDING)),
+                     sum(w * y) OVER o AS swx, sum(w * y * y) OVER o AS swxx
+              FROM y WINDOW o AS (PARTITION BY p_brand ORDER BY x ROWS UNBOUNDED PRECEDING)),
         one AS (SELECT *, swxx - swx * swx / sw AS cost FROM p),
         t2 AS (SELECT b.p_brand, b.m, a.m AS l, a.cost + ((b.swxx - a.swxx)
                       - (b.swx - a.swx) * (b.swx - a.swx) / (b.sw - a.sw)) AS cost

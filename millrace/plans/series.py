@@ -65,7 +65,7 @@ def interpolate(spark, folder):
 
 def daily_bars(spark, folder):
     daily = bars.daily_bars(_whole(spark, folder), ["user_id"])
-    values = [F.round(c, 8).alias(c) for c in ["open", "close", "low", "high", "volume", "mean"]]
+    values = [F.round(c, 6).alias(c) for c in ["open", "close", "low", "high", "volume", "mean"]]
     return daily.select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), *values)
 
 
@@ -239,9 +239,9 @@ ORACLE = {
         WITH {_WHOLE},
         k AS (SELECT user_id, ts::DATE AS day, first(open ORDER BY ts) AS open, last(close ORDER BY ts) AS close,
                      min(low) AS low, max(high) AS high, sum(volume) AS volume FROM w GROUP BY 1, 2)
-        SELECT user_id, strftime(day, '%Y-%m-%d') AS day, round(open, 8) AS open, round(close, 8) AS close,
-               round(low, 8) AS low, round(high, 8) AS high, round(volume, 8) AS volume,
-               round((high + close) / 2, 8) AS mean FROM k""",
+        SELECT user_id, strftime(day, '%Y-%m-%d') AS day, round(open, 6) AS open, round(close, 6) AS close,
+               round(low, 6) AS low, round(high, 6) AS high, round(volume, 6) AS volume,
+               round((high + close) / 2, 6) AS mean FROM k""",
     "sliding_windows": f"""
         WITH {_DAILY}, {_cut(N_OUT)}
         SELECT s.o_orderpriority, s."window", n.pos - s."window" - {N_IN} AS h, s.base,

@@ -68,14 +68,14 @@ def search_stream(spark, folder):
     write_index(tfidf.postings(tfidf.weights(_tokens(spark, folder))), f"{base}/index")
     answer_stream(
         spark,
-        arriving=folder,
+        # A pattern, which finds the table stored as one file or as a folder of part files.
+        arriving=f"{folder}/benchmark.parque[t]",
         schema=table(spark, folder, "benchmark").schema,
         index=load_index(spark, f"{base}/index"),
         answers=f"{base}/answers",
         progress=f"{base}/progress",
         k=TOP,
         query_id="item_id",
-        glob="benchmark.parquet",
     )
     answered = spark.read.parquet(f"{base}/answers")
     return answered.select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", "score")
