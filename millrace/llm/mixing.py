@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD, word_count
+from millrace.llm.common import WORD, partitions_for, word_count
 from millrace.session import stage
 
 BLOCK, SHARD = 64, 1024
@@ -117,7 +117,7 @@ def slots(plan: DataFrame, seed: int = 0, shard: int = SHARD) -> DataFrame:
     """``(shard, slot, line, pass, block)`` of every output slot."""
     chunks = plan.where("slots > 0").withColumn(
         "chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / F.lit(SLOTS_PER_CHUNK)).cast("bigint")))
-    ).repartition("line", "chunk")
+    ).repartition(partitions_for(plan), "line", "chunk")
     first = F.col("chunk") * SLOTS_PER_CHUNK
     each = chunks.withColumn("j", F.explode(F.sequence(first, F.least(first + SLOTS_PER_CHUNK, F.col("slots")) - 1)))
     out = permuted(F.col("first_slot") + F.col("j"), F.col("all_slots"), F.lit(seed))
@@ -139,8 +139,12 @@ def pieces(rows: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def mixed(rows: DataFrame, plan: DataFrame, seed: int = 0, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
-    """The mix: each slot with the document pieces of its block, joined by source and index."""
-    return slots(plan, seed, shard).join(pieces(rows, block), ["line", "block"])
+    """The mix: each slot with the document pieces of its block, joined by source and index.
+
+    Both sides grow from few rows inside the stage that the join reads, so their size is underestimated: the hint
+    keeps either from being broadcast.
+    """
+    return slots(plan, seed, shard).hint("merge").join(pieces(rows, block), ["line", "block"])
 
 
 def taken(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 0) -> DataFrame:
