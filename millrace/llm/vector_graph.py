@@ -6,7 +6,8 @@ the points enter the graph in batches: a greedy beam search over the graph so fa
 pruning keeps a proposal only if no kept one is ``1 / ALPHA`` times as near to it as the point is, so the edges
 kept point in different directions; each edge is also offered to its other end, which prunes when it has too many.
 Equal vectors of a shard are one point, whose ids are listed by size: a vector that a third of all rows share
-costs no edges. Each query is sent to every shard, beam searched there, and its finds are merged; scores are inner
+costs no edges. The index, one row per shard,
+is stored. Each query is sent to every shard in blocks, beam searched there, and its finds are merged; scores are inner
 products of the original components in double precision.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows
@@ -16,6 +17,8 @@ query id that has several vectors queries with the smallest. Ties go to the smal
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +28,8 @@ from millrace.session import stage
 
 SHARD = 4096
 DEGREE, BEAM, ALPHA = 32, 96, 1.2
+#: Queries that one task answers in one shard, about.
+QUERIES = 10_000
 #: Points that enter the graph, or queries that are answered, together.
 BATCH = 256
 EVERY, NEAREST = 20, 20
@@ -51,6 +56,14 @@ class Graph:
             found, _ = self.search(self.points[batch])
             self._connect(batch, found)
 
+    @classmethod
+    def stored(cls, points: np.ndarray, edges: np.ndarray, entry: int, beam: int) -> Graph:
+        """A graph that was built before, for searches."""
+        graph = cls(points[:0], edges.shape[1] // 2, beam)
+        graph.points, graph.edges, graph.entry = points, edges.astype(np.int64), entry
+        graph.squares = np.einsum("ij,ij->i", points, points)
+        return graph
+
     def _to(self, queries: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Squared distances of each query to its own row of ids."""
         dots = np.einsum("qd,qkd->qk", queries, self.points[ids], optimize=True)
@@ -138,20 +151,32 @@ def usable(vector: Column) -> Column:
     return F.when((F.size(x) > 0) & ~bad & F.exists(x, lambda c: c != 0), x)
 
 
-def _answer(longest: float, nearest: int, degree: int, beam: int, alpha: float):
-    def answer(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+def _build(longest: float, degree: int, beam: int, alpha: float):
+    """One shard's index as one row: distinct vectors, the ids of each in order, and the graph."""
+
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        vectors = np.stack(rows["vector"].to_numpy())
+        distinct, point = np.unique(vectors, axis=0, return_inverse=True)
+        point, ids = point.reshape(-1), rows["id"].to_numpy()
+        order = np.lexsort((ids, point))
+        lift = np.sqrt(np.maximum(longest - np.einsum("ij,ij->i", distinct, distinct), 0))
+        graph = Graph(np.column_stack([distinct, lift]), degree, beam, alpha)
+        out = io.BytesIO()
+        np.savez(out, distinct=distinct, points=graph.points, edges=graph.edges.astype(np.int32), entry=graph.entry,
+                 ids=ids[order], starts=np.searchsorted(point[order], np.arange(len(distinct) + 1)))
+        return pd.DataFrame({"size": [rows["size"].iloc[0]], "shard": [rows["shard"].iloc[0]], "index": [out.getvalue()]})
+
+    return build
+
+
+def _answer(longest: float, nearest: int, beam: int):
+    def answer(index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(rows) and len(asked):
-            vectors = np.stack(rows["vector"].to_numpy())
-            distinct, point = np.unique(vectors, axis=0, return_inverse=True)
-            ids = rows["id"].to_numpy()
-            order = np.lexsort((ids, point.reshape(-1)))
-            starts = np.searchsorted(point.reshape(-1)[order], np.arange(len(distinct) + 1))
-            squares = np.einsum("ij,ij->i", distinct, distinct)
-            lift = np.sqrt(np.maximum(longest - squares, 0))
-            graph = Graph(np.column_stack([distinct, lift]), degree, max(beam, nearest + 1), alpha)
-            questions = np.stack(asked["vector"].to_numpy())
-            names = asked["id"].to_numpy()
+        if len(index) and len(asked):
+            kept = np.load(io.BytesIO(index["index"].iloc[0]))
+            distinct, ids, starts = kept["distinct"], kept["ids"], kept["starts"]
+            graph = Graph.stored(kept["points"], kept["edges"], int(kept["entry"]), max(beam, nearest + 1))
+            questions, names = np.stack(asked["vector"].to_numpy()), asked["id"].to_numpy()
             for at in range(0, len(questions), BATCH):
                 q = questions[at : at + BATCH]
                 # Lengths do not change which inner product is largest, but keep distances well scaled.
@@ -161,7 +186,7 @@ def _answer(longest: float, nearest: int, degree: int, beam: int, alpha: float):
                     points = points[points >= 0]
                     scores = distinct[points] @ vector
                     # No answer takes more than its first ids of one point, and it may be one of them itself.
-                    listed = [(s, i) for s, p in zip(scores, points) for i in ids[order[starts[p] : starts[p + 1]]][: nearest + 1] if i != name]
+                    listed = [(s, i) for s, p in zip(scores, points) for i in ids[starts[p] : starts[p + 1]][: nearest + 1] if i != name]
                     listed.sort(key=lambda x: (-x[0], x[1]))
                     out += [(name, i, s) for s, i in listed[:nearest]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
@@ -185,12 +210,22 @@ def nearest_neighbours(table: DataFrame, queries: DataFrame, key: str = "vec_id"
     plan = stage(sizes.select("size", shards.alias("shards"), "longest"), "vector-shards")  # one row per dimension
     longest = plan.agg(F.max("longest")).first()[0] or 0.0
     dealt = rows.join(F.broadcast(plan), "size").withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")))
-    asked = given(queries).groupBy("id").agg(F.min("vector").alias("vector")).withColumn("size", F.size("vector"))
-    sent = asked.join(F.broadcast(plan), "size").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
-    found = (
-        dealt.select("id", "vector", "size", "shard").groupBy("size", "shard")
-        .cogroup(sent.select("id", "vector", "size", "shard").groupBy("size", "shard"))
-        .applyInPandas(_answer(longest, nearest, degree, beam, alpha), "query_id long, vec_id long, score double")
+    place = ["size", "shard"]
+    index = stage(
+        dealt.select("id", "vector", *place).groupBy(*place).applyInPandas(
+            _build(longest, degree, beam, alpha), "size int, shard long, index binary"
+        ), "vector-index",
+    )
+    asked = stage(given(queries).groupBy("id").agg(F.min("vector").alias("vector")).withColumn("size", F.size("vector")), "vector-queries")
+    # A task answers about QUERIES queries in one shard, however many there are.
+    blocks = F.lit(max(1, -(-asked.count() // QUERIES)))
+    every = F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)
+    sent = asked.join(F.broadcast(plan), "size").withColumns(
+        {"shard": F.explode(every), "block": F.pmod(F.xxhash64("id"), blocks.cast("long"))}
+    ).select("id", "vector", *place, "block")
+    shelved = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)))
+    found = shelved.groupBy(*place, "block").cogroup(sent.groupBy(*place, "block")).applyInPandas(
+        _answer(longest, nearest, beam), "query_id long, vec_id long, score double"
     )
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
