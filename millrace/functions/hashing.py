@@ -37,12 +37,19 @@ def digest60(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("bigint")
 
 
+def digest64(key: Column) -> Column:
+    """The first 64 bits of a string's md5 as a signed bigint."""
+    half = lambda at: F.conv(F.substring(F.md5(key), at, 8), 16, 10).cast("bigint")
+    return F.shiftleft(half(1), 32).bitwiseOR(half(9))
+
+
 def hash_columns(key: Column, seed: int = 0) -> dict[str, Column]:
     """32-, 64- and 128-bit hashes of a column, unseeded and seeded, by name."""
     salted = F.concat(F.lit(f"{seed}:"), key)
     return {
         "h32": F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint"),
         "h60": digest60(key),
+        "h64": digest64(key),
         "h128": F.md5(key),
         "seeded_h128": F.md5(salted),
     }

@@ -80,6 +80,12 @@ def jaccard_pairs(spark, folder):
     return jaccard.jaccard_pairs(_texts(spark, folder), T, K)
 
 
+def similar_documents(spark, folder):
+    """For the documents in ``labels``: every document similar to them, copies included."""
+    ids = table(spark, folder, "labels", "doc_id").select(F.col("doc_id").alias("id"))
+    return quality.partners(jaccard_pairs(spark, folder), text_copies(spark, folder), ids)
+
+
 def pairs_intersect(spark, folder):
     return quality.common_pairs(jaccard_pairs(spark, folder), lsh_pairs(spark, folder))
 
@@ -114,6 +120,7 @@ QUERIES = {
     "lsh_candidates": lsh_candidates,
     "lsh_pairs": lsh_pairs,
     "jaccard_pairs": jaccard_pairs,
+    "similar_documents": similar_documents,
     "pairs_intersect": pairs_intersect,
     "lsh_quality": lsh_quality,
     "banding_sweep": banding_sweep,
@@ -200,6 +207,12 @@ ORACLE = {
         {_DISTINCT}, {_banded(R, B)}, {_candidates(R, B, 'l', 'bands')}
         SELECT id1, id2, score FROM l WHERE score >= {T}""",
     "jaccard_pairs": f"WITH {_TEXTS}, {_shingled('t')}, {_JACCARD} SELECT id1, id2, score FROM j",
+    "similar_documents": f"""
+        WITH {_TEXTS}, {_shingled('t')}, {_JACCARD},
+        m AS (SELECT c.id AS doc, t.id AS text_id FROM c JOIN t ON c.text = t.text),
+        near AS (SELECT id1 AS a, id2 AS b FROM j UNION ALL SELECT id2, id1 FROM j UNION ALL SELECT id, id FROM t)
+        SELECT q.doc AS id, p.doc AS partner FROM (SELECT DISTINCT doc_id FROM labels) l JOIN m q ON q.doc = l.doc_id
+        JOIN near ON near.a = q.text_id JOIN m p ON p.text_id = near.b WHERE p.doc <> q.doc""",
     "pairs_intersect": f"""
         {_DISTINCT}, {_banded(R, B)}, {_candidates(R, B, 'l', 'bands')}, {_JACCARD}
         SELECT j.id1, j.id2 FROM j JOIN l ON j.id1 = l.id1 AND j.id2 = l.id2 WHERE l.score >= {T}""",

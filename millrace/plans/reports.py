@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from millrace.functions import hashing
 from millrace.functions.text import escape_field
 from millrace.operators import clustering, ledger, ordered, prefixes, ratings
-from millrace.session import spread
+from millrace.session import new_path, spread
 from millrace.sources import pages as pg
-from millrace.sources.readers import union_all
+from millrace.sources.readers import read_tsv, union_all
+from millrace.sources.sinks import write_tsv
 from millrace.sources.tables import table
 
 MIN_RATINGS = 30
@@ -66,6 +67,17 @@ def page_fields(spark, folder):
     return pg.page_fields(_pages(spark, folder))
 
 
+def page_nodes(spark, folder):
+    return pg.extracted(_pages(spark, folder), pg.linked_texts, "href string, label string").select("page_id", "href", "label")
+
+
+def tsv_round_trip(spark, folder):
+    """Documents as a TSV file with a header, written to the shared folder and read back."""
+    path, columns = new_path(spark, "tsv"), ["doc_id", "source", "text"]
+    write_tsv(table(spark, folder, "documents"), path, columns)
+    return read_tsv(spark, path, columns)
+
+
 def page_links(spark, folder):
     return pg.page_links(_pages(spark, folder)).withColumn("pos", F.col("pos").cast("bigint"))
 
@@ -116,6 +128,8 @@ QUERIES = {
     "escape_field": escaped,
     "hash_columns": hash_columns,
     "page_fields": page_fields,
+    "page_nodes": page_nodes,
+    "tsv_round_trip": tsv_round_trip,
     "page_links": page_links,
     "page_blocks": page_blocks,
     "prefix_rates": prefix_rates,
@@ -124,6 +138,13 @@ QUERIES = {
     "cluster_sse": cluster_sse,
 }
 
+def _decoded(sql: str) -> str:
+    for entity, sign in pg.ENTITIES.items():
+        quoted = sign.replace("'", "''")
+        sql = f"replace({sql}, '{entity}', '{quoted}')"
+    return sql
+
+
 ORACLE = {
     "top_items_by_count": """
         SELECT l_partkey AS item, count(*) AS n FROM lineitem
@@ -144,11 +165,23 @@ ORACLE = {
                        chr(10), ' '), chr(9), ' '), chr(13), '') AS field FROM documents""",
     "hash_columns": """
         SELECT doc_id, ('0x' || substr(md5(text), 1, 8))::BIGINT AS h32,
-               ('0x' || substr(md5(text), 1, 15))::BIGINT AS h60, md5(text) AS h128,
+               ('0x' || substr(md5(text), 1, 15))::BIGINT AS h60,
+               (('0x' || substr(md5(text), 1, 8))::BIGINT
+                - CASE WHEN substr(md5(text), 1, 1) >= '8' THEN 4294967296 ELSE 0 END) * 4294967296
+               + ('0x' || substr(md5(text), 9, 8))::BIGINT AS h64, md5(text) AS h128,
                md5('7:' || text) AS seeded_h128 FROM documents""",
     "page_fields": f"""
-        SELECT page_id, regexp_extract(html, '{pg.TITLE}', 1) AS title,
-               regexp_extract(html, '{pg.HEADING}', 1) AS heading FROM pages""",
+        SELECT page_id, {_decoded(f"regexp_extract(html, '{pg.TITLE}', 1)")} AS title,
+               {_decoded(f"regexp_extract(html, '{pg.HEADING}', 1)")} AS heading FROM pages""",
+    "page_nodes": f"""
+        WITH l AS (SELECT page_id, regexp_extract_all(html, '(?s){pg.HREF}[^>]*>(.*?)</a>', 1) AS h,
+                          regexp_extract_all(html, '(?s){pg.HREF}[^>]*>(.*?)</a>', 2) AS t FROM pages),
+        r AS (SELECT page_id, unnest(h) AS h, unnest(t) AS t FROM l)
+        SELECT page_id, {_decoded("h")} AS href, {_decoded(f"regexp_replace(t, '{pg.TAG}', '', 'g')")} AS label FROM r""",
+    "tsv_round_trip": r"""
+        SELECT doc_id::VARCHAR AS doc_id, coalesce(source, '') AS source,
+               replace(replace(replace(regexp_replace(text, '^\s+|\s+$', '', 'g'),
+                       chr(10), ' '), chr(9), ' '), chr(13), '') AS text FROM documents""",
     "page_links": f"""
         WITH l AS (SELECT page_id, regexp_extract_all(html, '{pg.HREF}', 1) AS links FROM pages)
         SELECT page_id, unnest(range(len(links))) AS pos, unnest(links) AS href FROM l""",

@@ -51,13 +51,24 @@ def new_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), "millrace", f"{label}-{uuid.uuid4().hex}")
 
 
+_STAGED: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what :func:`stage` has written in this process. Frames that read it can no longer be used."""
+    while _STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     For results that several branches use: the lineage ends at files that survive the loss of
-    executors, and each reader prunes columns as on any parquet table.
+    executors, and each reader prunes columns as on any parquet table. :func:`release` deletes the files.
     """
     path = new_path(df.sparkSession, label)
+    _STAGED.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -75,11 +86,11 @@ def spread(scan: DataFrame, *keys: str) -> DataFrame:
     return scan.repartition(wanted, *keys)
 
 
-def partition_by(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition by ``keys`` into ``spark.sql.shuffle.partitions`` tasks, and keep them all.
+def partition_by(df: DataFrame, *keys: str, tasks: int | None = None) -> DataFrame:
+    """Hash-partition by ``keys`` into ``tasks`` tasks, by default ``spark.sql.shuffle.partitions``, and keep them all.
 
     For short rows that are about to grow, such as texts before shingling: adaptive execution sizes
     partitions by the bytes it sees now and would put megabytes of text, then gigabytes of
     shingles, into one task. Grouping by the same keys afterwards needs no further shuffle.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return df.repartition(tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

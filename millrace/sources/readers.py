@@ -56,10 +56,11 @@ def read_prices(spark: SparkSession, path: str, infer: bool = False) -> DataFram
 
 
 def number_lines(df: DataFrame, start: int = 0, name: str = "line") -> DataFrame:
-    """Number the rows of a file scan in file order, without moving rows.
+    """Number the rows of a file scan in file order.
 
-    A row's number within its split follows from Spark's increasing ids; only one row per split is
-    gathered to add up the lengths of the splits before it.
+    A row's number within its split follows from Spark's increasing ids; one row per split is gathered to
+    add up the lengths of the splits before it, and joined to the rows. As long as the list of splits is below the
+    broadcast threshold the rows stay where they are.
     """
     block = {"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start")}
     tagged = df.select("*", *[c.alias(n) for n, c in block.items()])
