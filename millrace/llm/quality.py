@@ -32,7 +32,7 @@ from millrace.session import stage
 LEAST_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 FEATURES = ["length", "word_length", "symbols", "dup_lines", "repeats"]
-FLOORS = [0.8, 0.12, 0.35, 0.35, 0.35]
+FLOORS = [0.8, 0.12, 0.35, 0.6, 0.8]
 KEPT, STEPS, LEAST_ROWS = 0.75, 3, 200
 #: Consistency at the normal distribution of a covariance from the nearest 75 % of rows in five dimensions.
 CONSISTENT = 1.414
