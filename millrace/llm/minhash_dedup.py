@@ -167,7 +167,8 @@ def _sets(docs, key, text, words, wanted: DataFrame) -> DataFrame:
                     )
 
     given = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    found = given.join(wanted, "id").mapInArrow(shingle, "node binary, items array<long>")
+    # At scale the ids are too many to broadcast; the hint keeps the plan the same at every size.
+    found = given.join(wanted.hint("merge"), "id").mapInArrow(shingle, "node binary, items array<long>")
     # Rows repeated under one id give one set more than once.
     return found.dropDuplicates(["node"])
 
@@ -222,7 +223,7 @@ def _search(percent: int):
 
 
 def _rest(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, part: int) -> DataFrame:
-    """Links within buckets whose members are not in one component yet."""
+    """Links within buckets whose members, the lead left out, are not in one component yet."""
     placed = members.join(roots, members["node"] == roots["of"], "left").select(
         "bucket", "node", F.coalesce("root", "node").alias("root")
     )
@@ -241,14 +242,17 @@ def _rest(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, p
                 F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int").alias("part")),
         "cells",
     )
-    each = dealt.groupBy("bucket", "alone", "part").agg(F.count("*").alias("rows"))
+    # The members of a part, as far as hashes tell: bands often hold the same members, who need to meet once only.
+    mark = F.struct(F.count("*"), F.bit_xor(F.xxhash64("node")), F.bit_xor(F.xxhash64("node", F.lit(1))))
+    each = dealt.groupBy("bucket", "alone", "part").agg(mark.alias("mark"))
     p, q = each.alias("p"), each.alias("q")
     name = lambda t: F.struct(F.coalesce(F.col(f"{t}.alone"), F.lit(b"")).alias("alone"), F.col(f"{t}.part").alias("part"))
     apart = ~F.col("p.alone").eqNullSafe(F.col("q.alone")) | F.col("p.alone").isNull()
     cells = p.join(q, (F.col("p.bucket") == F.col("q.bucket")) & (name("p") <= name("q")) & apart).select(
         F.col("p.bucket").alias("bucket"), name("p").alias("one"), name("q").alias("other"),
         F.xxhash64(F.col("p.bucket"), name("p"), name("q")).alias("cell"),
-    )
+        F.col("p.mark").alias("mark"), F.col("q.mark").alias("other_mark"),
+    ).dropDuplicates(["mark", "other_mark"])
     sides = cells.select("bucket", "cell", F.explode(F.array_distinct(F.array("one", "other"))).alias("side"))
     rows = dealt.withColumn("side", F.struct(F.coalesce("alone", F.lit(b"")).alias("alone"), "part"))
     met = rows.join(sides, ["bucket", "side"]).join(sets, "node").select("cell", "node", "root", "items")
@@ -266,15 +270,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     members = stage(banded.join(shared, "bucket"), "members")
     central = members.groupBy("node").agg(F.sum("size").alias("weight"))
     leads = members.join(central, "node").groupBy("bucket").agg(
-        F.max(F.struct("weight", F.col("node").alias("a"), F.col("n").alias("m"))).alias("lead")
+        F.max(F.struct("weight", F.col("node").alias("a"), F.col("n").alias("m"), F.col("id").alias("i"))).alias("lead")
     )
-    stars = members.join(leads, "bucket").where(
-        (F.col("lead.a") != F.col("node")) & _can_hold(F.col("n"), F.col("lead.m"), percent)
-    ).select(F.col("lead.a").alias("a"), F.col("node").alias("b")).distinct()
-    sets = stage(_sets(docs, key, text, words, stage(members.select("id", "node").distinct(), "wanted")), "sets")
+    # The pairs of a bucket's lead are all examined here; only those of the others may be left.
+    led = stage(members.join(leads, "bucket").where(F.col("lead.a") != F.col("node")), "led")
+    likely = led.where(_can_hold(F.col("n"), F.col("lead.m"), percent))
+    stars = likely.select(F.col("lead.a").alias("a"), F.col("node").alias("b")).distinct()
+    wanted = likely.select("id", "node").unionByName(
+        likely.select(F.col("lead.i").alias("id"), F.col("lead.a").alias("node"))
+    ).unionByName(led.where("size > 2").select("id", "node"))
+    sets = stage(_sets(docs, key, text, words, stage(wanted.distinct(), "wanted")), "sets")
     links = stage(_verified(stars, sets, percent), "verified")
     roots = stage(components(links), "roots").select(F.col("node").alias("of"), "root")
-    more = stage(_rest(members.select("bucket", "node"), roots, sets, percent, part), "rest")
+    more = stage(_rest(led.select("bucket", "node"), roots, sets, percent, part), "rest")
     if not more.isEmpty():
         roots = stage(components(links.unionByName(more)), "roots").select(F.col("node").alias("of"), "root")
     placed = nodes.select("node", "id").join(roots, nodes["node"] == roots["of"], "left").select(
