@@ -51,8 +51,10 @@ def permuted(x: Column, n: Column, *key: Column) -> Column:
                 a = F.pmod(a + F.pmod(F.xxhash64(b, F.lit(i), *key), high), high)
         return a * low + b
 
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), once(x), lambda v, _: F.when(v < n, v).otherwise(once(v)))
-    return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("permutation left its range")).cast("bigint"))
+    first = once(x)  # compiled; the walk, which is interpreted, is for the few that need it
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), first, lambda v, _: F.when(v < n, v).otherwise(once(v)))
+    checked = F.when(walked < n, walked).otherwise(F.raise_error(F.lit("permutation left its range")).cast("bigint"))
+    return F.when(first < n, first).otherwise(checked)
 
 
 def sized(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
