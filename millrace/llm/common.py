@@ -36,3 +36,17 @@ def split_sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0], np.cumsum(values)])
     ends = np.cumsum(lengths)
     return total[ends] - total[ends - lengths]
+
+
+_CACHES: dict[str, dict] = {}
+
+
+def sole_cache(name: str, cache: dict) -> None:
+    """Empty what other operators remember in this Python worker, which Spark uses again for later stages.
+
+    What an operator remembers only saves time; in a pipeline the sum of it would outgrow a worker's memory.
+    """
+    _CACHES[name] = cache
+    for other, held in _CACHES.items():
+        if other != name and held is not cache:
+            held.clear()

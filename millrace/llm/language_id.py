@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.common import sole_cache
+
 #: Documents sampled for each label.
 SAMPLE_DOCS = 400
 #: Contexts of full order that the model keeps, the most frequent first.
@@ -96,6 +98,7 @@ def _marginal(gram, n, order: int):
 
 def _tables(model: dict):
     """Bits of each (state, symbol, language); a state is the longest context that any language knows."""
+    sole_cache("language", _TABLES)
     if model["id"] in _TABLES:
         return _TABLES[model["id"]]
     gram, n, label = model["gram"], model["n"], model["label"]

@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import sole_cache
 from millrace.llm.components import components
 from millrace.session import stage
 
@@ -36,7 +37,7 @@ PERCENT = 80
 PART = 256
 #: Shingles that are ranked together.
 CHUNK = 1 << 17
-MEMO = 400_000
+MEMO = 300_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _WORDS: dict[bytes, int] = {}
 
@@ -50,6 +51,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(text: str) -> np.ndarray:
     """A 64-bit hash of each word, lower-cased in A-Z."""
+    sole_cache("words", _WORDS)
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if len(_WORDS) > MEMO:
         _WORDS.clear()

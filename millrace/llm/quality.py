@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import sole_cache
 from millrace.llm.minhash_dedup import mixed
 from millrace.session import stage
 
@@ -64,6 +65,7 @@ def _repeated(words: list[str]) -> int:
     n = len(words) - WINDOW + 1
     if n < 2:
         return 0
+    sole_cache("quality", _MEMO)
     if len(_MEMO) > 400_000:
         _MEMO.clear()
     code = np.fromiter((_MEMO.setdefault(w, len(_MEMO)) for w in words), dtype=np.uint64, count=len(words))

@@ -9,6 +9,8 @@ from array import array
 
 import numpy as np
 
+from millrace.llm.common import sole_cache
+
 #: Pieces between blanks, and words, that a task remembers; only speed depends on them.
 PIECES, WORDS = 400_000, 800_000
 #: Letters that every normaliser in use maps one to one, with the signs that may follow; see ``Encoder``.
@@ -104,6 +106,7 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """The task's encoder for a file, kept for the tasks to come."""
+    sole_cache("tokens", _ENCODERS)
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
