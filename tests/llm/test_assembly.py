@@ -298,6 +298,24 @@ def test_planted_passages_are_found_and_nothing_else(spark):
     assert passages.shared_passages(table(spark, rows).limit(0)).collect() == []
 
 
+def test_phrases_that_recur_break_no_run():
+    rng = np.random.default_rng(11)
+    fresh = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    phrase = fresh(1)
+    once = fresh(46)
+    once[23] = phrase[0]
+    a, b = np.concatenate([fresh(5), phrase, fresh(100), once]), np.concatenate([fresh(90), once, fresh(9)])
+    for offset in (-16, 10, -45):
+        assert passages.shared_runs(a, b, offset) == [(90, 135, 106, 151, 1.0)]
+    line = fresh(6)
+    body = np.concatenate([np.concatenate([fresh(24), line]) for _ in range(8)])
+    a, b = np.concatenate([line, fresh(70), body]), np.concatenate([fresh(40), body])
+    for offset in (-36, -20, -60):
+        assert passages.shared_runs(a, b, offset) == [(40, 279, 76, 315, 1.0)]
+    same = np.zeros(300, dtype=np.uint64)
+    assert passages.shared_runs(same, same[:200], 0)[0][4] == 1.0
+
+
 # vectors
 
 def _nearest(rows, queries, nearest):
