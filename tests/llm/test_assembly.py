@@ -298,6 +298,27 @@ def test_planted_passages_are_found_and_nothing_else(spark):
     assert passages.shared_passages(table(spark, rows).limit(0)).collect() == []
 
 
+def test_passages_between_the_ends_of_large_groups(spark):
+    rng = random.Random(12)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    # Frequent lines in all documents, first and last among them: they hold most least values of the passages.
+    line = fresh(30)
+    rows = [(i, " ".join(fresh(40) + line + fresh(40)), "en", "s") for i in range(1, 80)]
+    planted = {}
+    for k in range(12):
+        exact = fresh(13) + line + fresh(13)
+        for i in (100 + 2 * k, 101 + 2 * k):
+            rows.append((i, " ".join(fresh(rng.randrange(30, 90)) + exact + fresh(50)), "en", "s"))
+            planted[i] = 100 + 2 * k
+    rows += [(i, " ".join(fresh(40) + line + fresh(40)), "en", "s") for i in range(200, 280)]
+    found = passages.shared_passages(table(spark, rows)).collect()
+    assert all(r["similarity"] >= 0.8 for r in found)
+    named = {r["doc_id"] for r in found}
+    assert named <= set(planted)
+    # Seven in ten of the least values are the line's: a function finds a pair by its third value unless all three are.
+    assert len(named) >= 20
+
+
 def test_phrases_that_recur_break_no_run():
     rng = np.random.default_rng(11)
     fresh = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
