@@ -319,6 +319,12 @@ def test_passages_between_the_ends_of_large_groups(spark):
     assert len(named) >= 20
 
 
+def test_functions_miss_less_than_a_hundredth_at_the_threshold():
+    miss = 1 - passages.SIMILARITY
+    missed = sum(math.comb(passages.HASHES, k) * (1 - miss) ** k * miss ** (passages.HASHES - k) for k in range(passages.AGREE))
+    assert missed < 0.01 and passages.LEAST <= 40
+
+
 def test_phrases_that_recur_break_no_run():
     rng = np.random.default_rng(11)
     fresh = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
