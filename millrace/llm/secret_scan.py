@@ -35,8 +35,8 @@ BASE = {
     "access": (r"AKIA[A-Z0-9]+", 0, 20),
     "hex": (r"[0-9a-f]+", 0, 24),
 }
-#: What may be a secret of an unknown form.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: What may be a secret of an unknown form. An '=' only pads the end, so that the value of ``name=value`` stands alone.
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}=*"
 #: Alphabets by rising size: pattern and number of characters.
 ENCODINGS = [("hex", "^[0-9a-fA-F]+$", 16), ("base32", "^[A-Z2-7]+=*$", 32), ("base64", "^[A-Za-z0-9+/_-]+=*$", 64)]
 #: Share of false discoveries in each group of candidates.

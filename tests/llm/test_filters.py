@@ -249,6 +249,23 @@ def test_random_strings_are_found_and_words_are_not(spark):
     assert redacted == "see [secret] there"
 
 
+def test_random_values_of_names_are_found(spark):
+    rng = random.Random(10)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    values = ["".join(rng.choice(alphabet) for _ in range(40)) for _ in range(60)]
+    forms = ["client_id={}", "see auth={}== there", "https://host.example/path?a=b&sig={}", "authorization_of_the_client={}", "{}=tail"]
+    rows = [(i, forms[i % 5].format(v), "en", "s") for i, v in enumerate(values)]
+    found = {r["doc_id"]: r for r in secret_scan.scan(table(spark, rows)).collect()}
+    hit = 0
+    for i, v in enumerate(values):
+        start = rows[i][1].index(v)
+        end = start + len(v) + {1: 2, 4: 1}.get(i % 5, 0)
+        spans = [(s["start"], s["end"]) for s in found[i]["secrets"] if s["kind"] == "random"]
+        assert spans in ([], [(start, end)])
+        hit += bool(spans)
+    assert hit >= 56
+
+
 def test_secret_query_digests(spark):
     texts = {r["doc_id"]: r["text"] for r in documents(spark, FOLDER).collect()}
     for r in plans.op6_secret_scan(spark, FOLDER).collect():
