@@ -15,6 +15,8 @@ from millrace.session import stage as stored
 
 #: Bits per byte of the uniform code: a text that no learned language codes in fewer is in none of them.
 UNIFORM_BITS = 8
+#: Words of a shingle of near-duplicates: with two, scattered edits and chains of them would delete too much.
+SHINGLE = 5
 
 
 def languages(spark, docs, sf_dir):
@@ -26,10 +28,13 @@ def languages(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """Keep one document of each group of near copies, the one of the smallest id."""
-    found = minhash_dedup.near_duplicates(docs)
-    copies = found.where(~F.col("kept")).select(F.col("id").alias("_id")).distinct()
-    return docs.join(copies, docs["doc_id"] == copies["_id"], "left_anti")
+    """Keep one document of each group of near copies, the one of the smallest id; a row goes by its id and its text."""
+    found = minhash_dedup.near_duplicates(docs, words=SHINGLE, digests=True)
+    copies = found.where(~F.col("kept")).groupBy(F.col("id").alias("_id")).agg(F.collect_set("node").alias("_nodes"))
+    joined = docs.join(copies, docs["doc_id"] == copies["_id"], "left")
+    node = minhash_dedup.digest(F.when(F.col("_nodes").isNotNull(), F.col("text")), SHINGLE)
+    removed = F.coalesce(F.array_contains("_nodes", F.col("_node")), F.lit(False))
+    return joined.withColumn("_node", node).where(~removed).drop("_id", "_nodes", "_node")
 
 
 def secrets(spark, docs, sf_dir):

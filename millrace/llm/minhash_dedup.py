@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import sole_cache
@@ -73,6 +73,17 @@ def shingle_set(text: str | None, words: int = 2) -> np.ndarray:
     return np.unique(x)
 
 
+def digest(text: Column, words: int = 2) -> Column:
+    """The digest that names the shingle set of a text, null if it is empty."""
+
+    @F.pandas_udf("binary")
+    def digested(texts: pd.Series) -> pd.Series:
+        sets = [shingle_set(x, words) for x in texts]
+        return pd.Series([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], index=texts.index, dtype=object)
+
+    return digested(text)
+
+
 def super_minhash(sets: list[np.ndarray], size: int) -> np.ndarray:
     """Signatures, one row per non-empty set."""
     out = np.full((len(sets), size), np.inf)
@@ -262,8 +273,8 @@ def _rest(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, p
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 2,
-                    percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS, part: int = PART) -> DataFrame:
-    """``(id, n_shingles, component_id, kept)``, one row per row of ``docs``."""
+                    percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS, part: int = PART, digests: bool = False) -> DataFrame:
+    """``(id, n_shingles, component_id, kept)``, one row per row of ``docs``; with ``digests`` also ``node``, see :func:`digest`."""
     sketched = stage(sketches(docs, key, text, words, rows, bands), "sketches")
     named = sketched.where("node is not null and id is not null")
     nodes = stage(named.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
@@ -295,5 +306,5 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return sketched.select("id", "n", "node").join(classes, "node", "left").select(
         "id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
+        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), *["node"] * digests,
     )

@@ -391,6 +391,20 @@ def test_graph_recall_beyond_one_batch():
 
 # pipeline
 
+def test_near_copies_go_by_five_words_and_by_row(spark):
+    rng = random.Random(13)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    one, other, last = fresh(100), fresh(100), fresh(100)
+    edited = [f"n{i}" if i % 20 == 10 else w for i, w in enumerate(one)]
+    rows = [(1, " ".join(one)), (2, " ".join(edited)), (3, " ".join(one)), (3, " ".join(other)), (4, " ".join([*one[:99], "new"])),
+            (5, " ".join(last)), (5, " ".join(last)), (6, None), (7, ""), (None, " ".join(one))]
+    docs = table(spark, [(i, t, "en", "s") for i, t in rows])
+    kept = corpus_pipeline.near_duplicates(spark, docs, None)
+    assert kept.columns == docs.columns
+    expected = [x for k, x in enumerate(rows) if k not in (2, 4)]
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted((i or 0, t or "") for i, t in expected)
+
+
 def test_every_stage_keeps_the_columns_of_documents(spark):
     docs = documents(spark, FOLDER)
     columns = docs.columns
