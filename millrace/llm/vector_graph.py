@@ -1,7 +1,9 @@
 """Approximate nearest neighbours by inner product: a robust-pruned directed graph per shard, and beam search.
 
-Every vector gets one more component, so that all have the length of the longest; queries get a 0 there. The
-nearest by distance are then the largest by inner product. Rows are dealt to shards of about ``SHARD`` rows. In a shard
+Vectors are told apart by the power of two of their length, and each such range is dealt to shards of about ``SHARD``
+rows. In a shard every vector gets one more component, so that all have the length of the longest; queries get a 0
+there. The nearest by distance are then the largest by inner product, and as no vector is twice as long as another, one
+long vector does not set the scale for the rest. Distances are in double precision. In a shard
 the points enter the graph in batches: a greedy beam search over the graph so far proposes neighbours; relaxed
 pruning keeps a proposal only if no kept one is ``1 / ALPHA`` times as near to it as the point is, so the edges
 kept point in different directions; each edge is also offered to its other end, which prunes when it has too many.
@@ -39,7 +41,7 @@ class Graph:
     """A directed graph over points, built on creation."""
 
     def __init__(self, points: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA):
-        self.points = np.ascontiguousarray(points, dtype=np.float32)
+        self.points = np.ascontiguousarray(points, dtype=np.float64)
         self.degree, self.beam, self.alpha = degree, beam, alpha
         n = len(points)
         self.edges = np.full((n, 2 * degree), -1, dtype=np.int64)
@@ -72,10 +74,10 @@ class Graph:
     def search(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ``beam`` nearest points that a greedy search meets, nearest first; -1 and infinity where fewer."""
         many = len(queries)
-        queries = np.asarray(queries, dtype=np.float32)
+        queries = np.asarray(queries, dtype=np.float64)
         rows = np.arange(many)
         ids = np.full((many, self.beam), -1, dtype=np.int64)
-        far = np.full((many, self.beam), np.inf, dtype=np.float32)
+        far = np.full((many, self.beam), np.inf)
         done = np.zeros((many, self.beam), dtype=bool)
         met = np.zeros((many, len(self.points)), dtype=bool)
         ids[:, 0], met[:, self.entry] = self.entry, True
@@ -91,7 +93,7 @@ class Graph:
             next_ = self.edges[ids[live, pick]]
             fresh = (next_ >= 0) & ~met[live[:, None], next_]
             safe = np.where(fresh, next_, 0)
-            distance = np.where(fresh, self._to(queries[live], safe), np.inf).astype(np.float32)
+            distance = np.where(fresh, self._to(queries[live], safe), np.inf)
             met[np.repeat(live, fresh.sum(axis=1)), next_[fresh]] = True
             joined_far = np.concatenate([far[live], distance], axis=1)
             keep = np.argsort(joined_far, axis=1, kind="stable")[:, : self.beam]
@@ -151,7 +153,22 @@ def usable(vector: Column) -> Column:
     return F.when((F.size(x) > 0) & ~bad & F.exists(x, lambda c: c != 0), x)
 
 
-def _build(longest: float, degree: int, beam: int, alpha: float):
+def _exponent(vector: Column) -> Column:
+    """The power of two of a vector's length, which itself may be too large or small for a double when squared."""
+    top = F.array_max(F.transform(vector, F.abs))
+    squares = F.aggregate(vector, F.lit(0.0), lambda a, c: a + (c / top) * (c / top))
+    return F.floor(F.log2(top) + F.log2(squares) / 2).cast("int")
+
+
+def _points(distinct: np.ndarray, exponent: int) -> tuple[np.ndarray, float]:
+    """The vectors of a shard at a scale near 1, lifted to one length, and the square of that."""
+    scaled = np.ldexp(distinct, -exponent)
+    squares = np.einsum("ij,ij->i", scaled, scaled)
+    longest = squares.max()
+    return np.column_stack([scaled, np.sqrt(np.maximum(longest - squares, 0))]), longest
+
+
+def _build(degree: int, beam: int, alpha: float):
     """One shard's index as one row: distinct vectors, the ids of each in order, and the graph."""
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
@@ -159,28 +176,30 @@ def _build(longest: float, degree: int, beam: int, alpha: float):
         distinct, point = np.unique(vectors, axis=0, return_inverse=True)
         point, ids = point.reshape(-1), rows["id"].to_numpy()
         order = np.lexsort((ids, point))
-        lift = np.sqrt(np.maximum(longest - np.einsum("ij,ij->i", distinct, distinct), 0))
-        graph = Graph(np.column_stack([distinct, lift]), degree, beam, alpha)
+        exponent = int(rows["exponent"].iloc[0])
+        graph = Graph(_points(distinct, exponent)[0], degree, beam, alpha)
         out = io.BytesIO()
-        np.savez(out, distinct=distinct, points=graph.points, edges=graph.edges.astype(np.int32), entry=graph.entry,
+        np.savez(out, distinct=distinct, edges=graph.edges.astype(np.int32), entry=graph.entry,
                  ids=ids[order], starts=np.searchsorted(point[order], np.arange(len(distinct) + 1)))
-        return pd.DataFrame({"size": [rows["size"].iloc[0]], "shard": [rows["shard"].iloc[0]], "index": [out.getvalue()]})
+        return pd.DataFrame({"size": [rows["size"].iloc[0]], "exponent": [exponent], "shard": [rows["shard"].iloc[0]], "index": [out.getvalue()]})
 
     return build
 
 
-def _answer(longest: float, nearest: int, beam: int):
+def _answer(nearest: int, beam: int):
     def answer(index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(index) and len(asked):
             kept = np.load(io.BytesIO(index["index"].iloc[0]))
             distinct, ids, starts = kept["distinct"], kept["ids"], kept["starts"]
-            graph = Graph.stored(kept["points"], kept["edges"], int(kept["entry"]), max(beam, nearest + 1))
+            points, longest = _points(distinct, int(index["exponent"].iloc[0]))
+            graph = Graph.stored(points, kept["edges"], int(kept["entry"]), max(beam, nearest + 1))
             questions, names = np.stack(asked["vector"].to_numpy()), asked["id"].to_numpy()
             for at in range(0, len(questions), BATCH):
                 q = questions[at : at + BATCH]
                 # Lengths do not change which inner product is largest, but keep distances well scaled.
-                scaled = q / np.sqrt(np.einsum("ij,ij->i", q, q))[:, None] * np.sqrt(longest)
+                scaled = q / np.abs(q).max(axis=1)[:, None]
+                scaled *= np.sqrt(longest / np.einsum("ij,ij->i", scaled, scaled))[:, None]
                 found, _ = graph.search(np.column_stack([scaled, np.zeros(len(q))]))
                 for name, vector, points in zip(names[at : at + BATCH], q, found):
                     points = points[points >= 0]
@@ -203,17 +222,16 @@ def nearest_neighbours(table: DataFrame, queries: DataFrame, key: str = "vec_id"
             "id is not null and vector is not null"
         ).withColumn("size", F.size("vector"))
 
-    rows = given(table)
-    length = F.aggregate("vector", F.lit(0.0), lambda a, c: a + c * c)
-    sizes = rows.groupBy("size").agg(F.count("*").alias("rows"), F.max(length).alias("longest"))
+    rows = given(table).withColumn("exponent", _exponent(F.col("vector")))
+    sizes = rows.groupBy("size", "exponent").agg(F.count("*").alias("rows"))
     shards = F.ceil(F.col("rows") / F.lit(shard)).cast("long")
-    plan = stage(sizes.select("size", shards.alias("shards"), "longest"), "vector-shards")  # one row per dimension
-    longest = plan.agg(F.max("longest")).first()[0] or 0.0
-    dealt = rows.join(F.broadcast(plan), "size").withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")))
-    place = ["size", "shard"]
+    # One row per dimension and power of two.
+    plan = stage(sizes.select("size", "exponent", shards.alias("shards")), "vector-shards")
+    dealt = rows.join(F.broadcast(plan), ["size", "exponent"]).withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")))
+    place = ["size", "exponent", "shard"]
     index = stage(
         dealt.select("id", "vector", *place).groupBy(*place).applyInPandas(
-            _build(longest, degree, beam, alpha), "size int, shard long, index binary"
+            _build(degree, beam, alpha), "size int, exponent int, shard long, index binary"
         ), "vector-index",
     )
     asked = stage(given(queries).groupBy("id").agg(F.min("vector").alias("vector")).withColumn("size", F.size("vector")), "vector-queries")
@@ -225,7 +243,7 @@ def nearest_neighbours(table: DataFrame, queries: DataFrame, key: str = "vec_id"
     ).select("id", "vector", *place, "block")
     shelved = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)))
     found = shelved.groupBy(*place, "block").cogroup(sent.groupBy(*place, "block")).applyInPandas(
-        _answer(longest, nearest, beam), "query_id long, vec_id long, score double"
+        _answer(nearest, beam), "query_id long, vec_id long, score double"
     )
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

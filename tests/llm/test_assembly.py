@@ -389,6 +389,20 @@ def test_graph_recall_beyond_one_batch():
     assert np.mean([len(set(a[:20]) & set(b)) / 20 for a, b in zip(found, exact)]) > 0.9
 
 
+def test_recall_on_full_shards_of_varied_lengths(spark):
+    rng = np.random.default_rng(14)
+    points = rng.normal(size=(3000, 16)) * np.exp(rng.normal(size=(3000, 1)) / 4)
+    points[7] *= 1e4
+    points[11] *= 1e25
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(points)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = docs.where("vec_id % 20 = 0")
+    found = vector_graph.nearest_neighbours(docs, asked, shard=500).collect()
+    expected = _nearest(rows, set(range(0, 3000, 20)), 20)
+    hits = sum(r["vec_id"] in {j for j, _ in expected[r["query_id"]]} for r in found)
+    assert hits >= 0.9 * sum(map(len, expected.values()))
+
+
 # pipeline
 
 def test_near_copies_go_by_five_words_and_by_row(spark):
