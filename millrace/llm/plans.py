@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import language_id, license_scan, minhash_dedup, mixing, packing, passages, quality, secret_scan, token_files, vector_graph
+from millrace.llm import language_id, license_scan, minhash_dedup, mixing, packing, passages, quality, secret_scan, sentence_pieces, token_files, vector_graph
 from millrace.llm.common import WORD, documents
 from millrace.llm.tokens import tokenizer_path
 
@@ -65,6 +65,16 @@ def op10_vector_graph(spark, folder):
     return vector_graph.nearest_neighbours(table, vector_graph.index_queries(table))
 
 
+def op12_sentence_pieces(spark, folder):
+    path = tokenizer_path("piece_bpe_32k.model")
+    ids = sentence_pieces.encoded(documents(spark, folder).select("doc_id", "text"), path)
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return sentence_pieces.decoded(ids, path).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_packing": op2_packing,
@@ -76,6 +86,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_token_files": op9_token_files,
     "op10_vector_graph": op10_vector_graph,
+    "op12_sentence_pieces": op12_sentence_pieces,
 }
 
 ORACLE = {
