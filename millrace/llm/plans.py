@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import language_id, license_scan, minhash_dedup, mixing, packing, passages, quality, secret_scan, sentence_pieces, token_files, vector_graph
+from millrace.llm import language_id, license_scan, minhash_dedup, mixing, packing, passages, quality, secret_scan, sentence_pieces, token_files, vector_graph, whitening
 from millrace.llm.common import WORD, documents
 from millrace.llm.tokens import tokenizer_path
 
@@ -65,6 +65,10 @@ def op10_vector_graph(spark, folder):
     return vector_graph.nearest_neighbours(table, vector_graph.index_queries(table))
 
 
+def op11_whitening(spark, folder):
+    return whitening.whitened(documents(spark, folder, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op12_sentence_pieces(spark, folder):
     path = tokenizer_path("piece_bpe_32k.model")
     ids = sentence_pieces.encoded(documents(spark, folder).select("doc_id", "text"), path)
@@ -86,6 +90,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_token_files": op9_token_files,
     "op10_vector_graph": op10_vector_graph,
+    "op11_whitening": op11_whitening,
     "op12_sentence_pieces": op12_sentence_pieces,
 }
 
