@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.llm import language_id, license_scan, minhash_dedup, mixing, packing, passages, quality, secret_scan, sentence_pieces, token_files, vector_graph, whitening
+from millrace.llm import language_id, lexical_search, license_scan, minhash_dedup, mixing, packing, passages, quality, secret_scan, sentence_pieces, token_files, vector_graph, whitening
 from millrace.llm.common import WORD, documents
 from millrace.llm.tokens import tokenizer_path
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -79,6 +80,11 @@ def op12_sentence_pieces(spark, folder):
     )
 
 
+def op13_lexical_search(spark, folder):
+    found = lexical_search.search(lexical_search.index(documents(spark, folder)), documents(spark, folder, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_packing": op2_packing,
@@ -92,6 +98,7 @@ QUERIES = {
     "op10_vector_graph": op10_vector_graph,
     "op11_whitening": op11_whitening,
     "op12_sentence_pieces": op12_sentence_pieces,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLE = {
@@ -111,4 +118,23 @@ ORACLE = {
         SELECT x.doc_id, len(x.x)::BIGINT AS n_shingles, coalesce(c.component_id, x.doc_id) AS component_id,
                x.doc_id = coalesce(c.component_id, x.doc_id) AS kept
         FROM x LEFT JOIN node USING (x) LEFT JOIN class c ON c.id = node.id""",
+    "op13_lexical_search": f"""
+        WITH word AS (
+            SELECT doc_id, row_number() OVER () AS doc,
+                   regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_TERM}') AS words FROM documents),
+        doc AS (SELECT doc_id, doc, words, len(words) AS n FROM word WHERE len(words) > 0),
+        total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM doc),
+        asked AS (SELECT item_id, text, unnest(list_distinct(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_TERM}'))) AS term
+                  FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+        posting AS (SELECT doc, term, count(*)::BIGINT AS tf FROM (SELECT doc, unnest(words) AS term FROM doc)
+                    WHERE term IN (SELECT term FROM asked) GROUP BY doc, term),
+        weight AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+                   FROM (SELECT term, count(*) AS df FROM posting GROUP BY term), total),
+        scored AS (SELECT a.item_id, a.text, d.doc_id, d.doc,
+                          sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::BIGINT AS score
+                   FROM asked a JOIN weight USING (term) JOIN posting p USING (term) JOIN doc d ON d.doc = p.doc, total
+                   GROUP BY a.item_id, a.text, d.doc_id, d.doc),
+        ranked AS (SELECT item_id, (row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST))::INTEGER AS rank,
+                          doc_id, score FROM scored WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
 }
