@@ -36,6 +36,8 @@ CHUNK, LONG = 1 << 20, 64
 #: Words that a task remembers, and the longest of them; only speed depends on them.
 WORDS, LETTERS = 300_000, 40
 _NONE = np.iinfo(np.int64).max
+#: A key that no pair has.
+_APART = 1 << 62
 _PROBE = f"Hello  wörld, 3.50\n\t日本語 {BLANK}x\0 <s></s> <0x41> aaaaaaa     zz 😀\U0010ffff'll " + " " * 77 + "x" + " " * 50
 
 _CODERS: dict[str, Coder] = {}
@@ -48,6 +50,45 @@ def _one_by_one(error):
 codecs.register_error("millrace.bytewise", _one_by_one)
 
 
+class _Table:
+    """Values of non-negative keys, found for whole arrays of keys: open addressing in an array four times as long."""
+
+    def __init__(self, values: dict[int, int]):
+        bits = max(4, (4 * len(values)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.keys, self.values = np.full(1 << bits, -1, dtype=np.int64), np.full(1 << bits, -1, dtype=np.int64)
+        left = np.fromiter(values.keys(), dtype=np.int64, count=len(values))
+        right = np.fromiter(values.values(), dtype=np.int64, count=len(values))
+        slot = self._slots(left)
+        while len(left):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            at, one = np.unique(slot[free], return_index=True)
+            one = free[one]
+            self.keys[at], self.values[at] = left[one], right[one]
+            rest = np.ones(len(left), dtype=bool)
+            rest[one] = False
+            left, right, slot = left[rest], right[rest], (slot[rest] + 1) & (len(self.keys) - 1)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Values of keys, -1 where there is none."""
+        slot = self._slots(keys)
+        there = self.keys[slot]
+        found = np.where(there == keys, self.values[slot], -1)
+        open_ = np.flatnonzero((there != keys) & (there >= 0))
+        slot = slot[open_]
+        while len(open_):
+            slot = (slot + 1) & (len(self.keys) - 1)
+            there = self.keys[slot]
+            match = there == keys[open_]
+            found[open_[match]] = self.values[slot[match]]
+            go_on = ~match & (there >= 0)
+            open_, slot = open_[go_on], slot[go_on]
+        return found
+
+
 class Coder:
     """Vocabulary of a model as arrays, with encoding and decoding."""
 
@@ -63,17 +104,18 @@ class Coder:
         _, order = np.unique([-model.get_score(i) for i in range(size)], return_inverse=True)
         self.rank = order.astype(np.int64)
         self.longest = max(map(len, place))
-        letters = sorted((ord(p), i) for p, i in place.items() if len(p) == 1)
-        self.letters, self.letter_ids = (np.array(x, dtype=np.int64) for x in zip(*letters))
+        #: The symbol of each character: its piece, or a number beyond the pieces.
+        self.letters = np.arange(0x110000, dtype=np.int64) + size
+        for p, i in place.items():
+            if len(p) == 1:
+                self.letters[ord(p)] = i
         merges = {}
         for p, i in place.items():
             for k in range(1, len(p)):
                 if p[:k] in place and p[k:] in place:
                     merges[place[p[:k]] * size + place[p[k:]]] = i
-        self.pairs = np.array(sorted(merges), dtype=np.int64)
-        self.joined = np.array([merges[k] for k in self.pairs.tolist()], dtype=np.int64)
-        meet = {ord(a) << 21 | ord(b) for p in place for a, b in zip(p, p[1:])}
-        self.meet = np.array(sorted(meet), dtype=np.int64)
+        self.pairs = _Table(merges)
+        self.meet = _Table({ord(a) << 21 | ord(b): 1 for p in place for a, b in zip(p, p[1:])})
         self.table = [b"" if model.is_control(i) else bytes([int(p[1:-1], 16)]) if model.is_byte(i) else p.replace(BLANK, " ").encode()
                       for i, p in enumerate(pieces)]
         self.table[model.unk_id()] = model.decode([model.unk_id()]).encode()
@@ -88,9 +130,8 @@ class Coder:
 
     def _joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece of two symbols, -1 where they form none."""
-        key = np.where((left < self.size) & (right < self.size), left * self.size + right, -1)
-        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        return np.where(self.pairs[at] == key, self.joined[at], -1)
+        apart = (left < 0) | (left >= self.size) | (right >= self.size)
+        return self.pairs.find(np.where(apart, _APART, left * self.size + right))
 
     def _ranks(self, joined: np.ndarray) -> np.ndarray:
         return np.where(joined >= 0, self.rank[joined], _NONE)
@@ -151,17 +192,14 @@ class Coder:
         order = np.argsort(at)
         return at[order], symbols[order]
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word, its blanks written as U+2581."""
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word as little-endian 32-bit numbers; its blanks are written as U+2581."""
         if not words:
             return []
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
         begins = np.array([0, *accumulate(map(len, words))])[:-1]
-        at = np.minimum(np.searchsorted(self.letters, points), len(self.letters) - 1)
-        symbols = np.where(self.letters[at] == points, self.letter_ids[at], self.size + points)
-        pair = points[:-1] << 21 | points[1:]
-        at = np.minimum(np.searchsorted(self.meet, pair), len(self.meet) - 1)
-        first = np.append(True, self.meet[at] != pair)
+        symbols = self.letters[points]
+        first = np.append(True, self.meet.find(points[:-1] << 21 | points[1:]) < 0)
         first[begins] = True
         starts = np.flatnonzero(first)
         sizes = np.diff(np.append(starts, len(symbols)))
@@ -184,18 +222,21 @@ class Coder:
             places, out = np.repeat(places, sizes), np.repeat(out, sizes)
             where = np.concatenate([np.arange(e - len(b), e) for e, b in zip(ends[unknown].tolist(), bytes_of)])
             out[where] = self.bytes_at[np.frombuffer(b"".join(bytes_of), dtype=np.uint8)]
-        return np.split(out.astype("<i4"), np.searchsorted(places, begins[1:]))
+        raw, ends = out.astype("<i4").tobytes(), (4 * np.append(np.searchsorted(places, begins), len(out))).tolist()
+        return [raw[a:b] for a, b in zip(ends, ends[1:])]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; a null counts as empty."""
         split = [self.word.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
-        new = list({w for words in split for w in words if w not in self.words})
-        fresh = {w: ids.tobytes() for w, ids in zip(new, self.encode_words(new))}
         known = self.words
-        found = [np.frombuffer(b"".join([known.get(w) or fresh[w] for w in words]), dtype="<i4") for words in split]
         if len(known) > WORDS:
             known.clear()
-        known.update((w, ids) for w, ids in fresh.items() if len(w) <= LETTERS)
+        new = list(set().union(*split).difference(known))
+        known.update(zip(new, self.encode_words(new)))
+        found = [np.frombuffer(b"".join(map(known.__getitem__, words)), dtype="<i4") for words in split]
+        for w in new:
+            if len(w) > LETTERS:
+                del known[w]
         return found
 
     def decode(self, ids: np.ndarray) -> str:
