@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
@@ -37,12 +37,19 @@ def doc_freq(tokens: DataFrame) -> DataFrame:
 def weights(tokens: DataFrame) -> DataFrame:
     """``(doc_id, term, tf, df, idf, norm)`` with ``idf = log10(N / df)`` and the document's norm.
 
-    Two passes over the tokens: document frequencies, then weights. A frequent term's rows are
-    spread by :func:`attach`. The second shuffle, by document, gives every window the terms of one
-    document only.
+    Two passes over the tokens: document frequencies, then weights.
     """
     n_docs = tokens.select(F.count(F.lit(1))).scalar()
-    joined = attach(term_freq(tokens), doc_freq(tokens), ["term"], row_id="doc_id", freq="df")
+    return weights_of(term_freq(tokens), doc_freq(tokens), n_docs)
+
+
+def weights_of(rows: DataFrame, frequencies: DataFrame, n_docs: Column) -> DataFrame:
+    """:func:`weights` from ``(doc_id, term, tf)`` rows, ``(term, df)`` and the number of documents.
+
+    A frequent term's rows are spread by :func:`attach`. The second shuffle, by document, gives every
+    window the terms of one document only.
+    """
+    joined = attach(rows, frequencies, ["term"], row_id="doc_id", freq="df")
     idf = F.log10(n_docs.cast("double") / F.col("df"))
     by_doc = Window.partitionBy("doc_id")
     weighted = joined.withColumn("idf", idf).withColumn("_w", F.col("tf") * F.col("idf"))
@@ -56,14 +63,14 @@ def weights(tokens: DataFrame) -> DataFrame:
     )
 
 
-def postings(weighted: DataFrame) -> DataFrame:
-    """``(term, doc_id, df, partial_score)`` with ``tf * idf^2 / norm``: the query-independent part.
+def postings(weighted: DataFrame, *keep: str) -> DataFrame:
+    """``(term, doc_id, df, partial_score, keep...)`` with ``tf * idf^2 / norm``: the query-independent part.
 
     A document whose terms all occur everywhere has norm 0 and gets no postings.
     """
     score = F.col("tf") * F.col("idf") * F.col("idf") / F.col("norm")
     return weighted.where(F.col("norm") > 0).select(
-        "term", "doc_id", "df", score.alias("partial_score")
+        "term", "doc_id", "df", score.alias("partial_score"), *keep
     )
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.operators import pruned_search, tfidf
 from millrace.operators import search as se
-from millrace.operators import tfidf
 from millrace.session import new_path, spread
-from millrace.sources.sinks import load_index, write_index
 from millrace.sources.tables import table
+from millrace.streaming.index_stream import grow, grown_weights
 from millrace.streaming.search_stream import answer_stream
 
 TOP = 10
@@ -50,7 +50,7 @@ def postings(spark, folder):
 
 
 def _found(spark, folder):
-    found = se.search_corpus(_tokens(spark, folder), _queries(spark, folder), TOP)
+    found = pruned_search.search_corpus(tfidf.weights(_tokens(spark, folder)), _queries(spark, folder), TOP)
     return found.withColumn("rank", F.col("rank").cast("bigint"))
 
 
@@ -65,13 +65,13 @@ def search_hydrate(spark, folder):
 def search_stream(spark, folder):
     """The query table arrives as a stream of files; the index is stored and loaded."""
     base = new_path(spark, "search-stream")
-    write_index(tfidf.postings(tfidf.weights(_tokens(spark, folder))), f"{base}/index")
+    pruned_search.write_index(tfidf.weights(_tokens(spark, folder)), f"{base}/index")
     answer_stream(
         spark,
         # A pattern, which finds the table stored as one file or as a folder of part files.
         arriving=f"{folder}/benchmark.parque[t]",
         schema=table(spark, folder, "benchmark").schema,
-        index=load_index(spark, f"{base}/index"),
+        index=pruned_search.load_index(spark, f"{base}/index"),
         answers=f"{base}/answers",
         progress=f"{base}/progress",
         k=TOP,
@@ -81,6 +81,16 @@ def search_stream(spark, folder):
     return answered.select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", "score")
 
 
+def index_growth(spark, folder):
+    """The documents arrive in three loads; what the index is made of afterwards."""
+    base = new_path(spark, "index-growth")
+    documents = table(spark, folder, "documents", "doc_id", "text")
+    for load in range(3):
+        documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == load).write.mode("append").parquet(f"{base}/arriving")
+        grow(spark, f"{base}/arriving", documents.schema, f"{base}/store")
+    return pruned_search.dictionary(grown_weights(spark, f"{base}/store"))
+
+
 QUERIES = {
     "tokens": tokens,
     "doc_freq": doc_freq,
@@ -90,6 +100,7 @@ QUERIES = {
     "search_topk": search_topk,
     "search_hydrate": search_hydrate,
     "search_stream": search_stream,
+    "index_growth": index_growth,
 }
 
 
@@ -141,4 +152,8 @@ ORACLE = {
                f.doc_id + 1 AS line
         FROM found f JOIN documents d ON f.doc_id = d.doc_id""",
     "search_stream": f"WITH {_FOUND} SELECT query_id, rank, doc_id, score FROM found",
+    "index_growth": f"""
+        WITH {_WEIGHTS}
+        SELECT term, count(*) AS df, round(max(partial_score), 6) AS most, round(sum(partial_score), 6) AS total
+        FROM p GROUP BY term""",
 }

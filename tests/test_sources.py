@@ -4,8 +4,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from millrace.operators import search, tfidf
+from millrace.operators import pruned_search, search, tfidf
 from millrace.sources import pages, readers, sinks
+from millrace.streaming import index_stream
 from millrace.streaming.search_stream import answer_stream
 
 HEADER = "title\thref\tcity\ttimestamp\tdescription\n"
@@ -119,7 +120,9 @@ def test_listings_of_a_page_and_their_regions(spark):
 
 def test_stream_answers_equal_batch_and_come_once(spark, tmp_path):
     docs = spark.createDataFrame([(1, "red apple"), (2, "green apple"), (3, "pear")], "doc_id bigint, text string")
-    index = tfidf.build_postings(docs, "doc_id", "text")
+    weighted = tfidf.weights(tfidf.tokenised(docs, "doc_id", "text"))
+    pruned_search.write_index(weighted, str(tmp_path / "index"), 4)
+    index = pruned_search.load_index(spark, str(tmp_path / "index"), 4)
     arriving, answers = str(tmp_path / "arriving"), str(tmp_path / "answers")
     asked = [[(1, "apple"), (2, "pear red")], [(3, "green unknown")]]
     schema = "query_id bigint, text string"
@@ -128,5 +131,20 @@ def test_stream_answers_equal_batch_and_come_once(spark, tmp_path):
         for _ in range(2):
             answer_stream(spark, arriving, schema, index, answers, str(tmp_path / "progress"), k=2)
     got = spark.read.parquet(answers).drop("batch")
-    batch = search.search(index, spark.createDataFrame(sum(asked, []), schema), 2)
+    batch = search.search(tfidf.postings(weighted), spark.createDataFrame(sum(asked, []), schema), 2)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_index_after_loads_equals_index_of_the_whole(spark, tmp_path):
+    schema = "doc_id bigint, text string"
+    loads = [[(1, "red apple red"), (2, "green apple")], [(3, "pear"), (4, None), (5, "")], [(6, "apple pear plum"), (7, "red plum")], []]
+    arriving, store = str(tmp_path / "arriving"), str(tmp_path / "store")
+    taken = []
+    for load in loads:
+        taken += load
+        spark.createDataFrame(load, schema).write.mode("append").parquet(arriving)
+        for _ in range(2):
+            index_stream.grow(spark, arriving, schema, store)
+        whole = tfidf.weights(tfidf.tokenised(spark.createDataFrame(taken, schema), "doc_id", "text"))
+        grown = index_stream.grown_weights(spark, store)
+        assert sorted(map(tuple, grown.collect())) == sorted(map(tuple, whole.collect()))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
-from millrace.operators import ratings, search, tfidf
+from millrace.operators import pruned_search, ratings, search, tfidf
 
 TEXTS = [
     (1, "The quick brown fox, the LAZY dog"),
@@ -109,3 +110,47 @@ def test_top_items(spark):
     assert [r.item for r in ratings.top_by_count(df, k=3).collect()] == ["b", "a", "c"]
     assert [r.item for r in ratings.top_by_mean(df, min_count=2).collect()] == ["c", "a", "b"]
     assert [r.item for r in ratings.top_by_mean(df, min_count=3).collect()] == ["a", "b"]
+
+
+def _zipf_corpus(seed, documents, words):
+    rng = random.Random(seed)
+    word = lambda: f"w{int(rng.paretovariate(0.6)) % words:04d}x"
+    return [(i, " ".join(word() for _ in range(rng.choice([3, 10, 60, 200])))) for i in range(documents)], word, rng
+
+
+@pytest.mark.parametrize("first_rows", [1, 40, 10**9])
+def test_pruned_search_loses_nothing(spark, first_rows, tmp_path):
+    docs, word, rng = _zipf_corpus(1, 500, 900)
+    docs += [(None, docs[3][1]), (1000, docs[3][1]), (1001, None), (1002, "")]
+    asked = [(i, " ".join(word() for _ in range(rng.choice([1, 2, 5, 12])))) for i in range(50)]
+    asked += [(50, docs[3][1]), (51, "nowhere"), (52, None), (None, docs[5][1]), (53, "w0001x " * 3)]
+    schema = "doc_id bigint, text string"
+    weighted = tfidf.weights(tfidf.tokenised(spark.createDataFrame(docs, schema), "doc_id", "text"))
+    queries = spark.createDataFrame(asked, "query_id bigint, text string")
+    pruned_search.write_index(weighted, str(tmp_path / "i"), 8)
+    index = pruned_search.load_index(spark, str(tmp_path / "i"), 8)
+    key = lambda r: tuple(r)
+    exhaustive = sorted(map(key, search.search(tfidf.postings(weighted), queries, 5).collect()), key=repr)
+    assert sorted(map(key, pruned_search.search_index(index, queries, 5, first_rows=first_rows).collect()), key=repr) == exhaustive
+
+
+def test_frequent_terms_are_read_for_few_documents(spark, tmp_path):
+    """A term of every other document is looked up only where it can change the result; its bucket alone is read."""
+    docs = [(i, f"rare{i % 50} {'common' if i % 2 else 'other'} " + "filler " * (i % 7)) for i in range(2000)]
+    weighted = tfidf.weights(tfidf.tokenised(spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id", "text"))
+    path = str(tmp_path / "i")
+    pruned_search.write_index(weighted, path, 16)
+    index = pruned_search.load_index(spark, path, 16)
+    queries = spark.createDataFrame([(1, "rare7 common"), (2, "rare8 common")], "query_id bigint, text string")
+    asked, buckets = pruned_search._asked(index, queries, "query_id", "text", 100)
+    rare = index.within(index.postings, buckets).join(asked.where("rare"), ["bucket", "term"])
+    found = rare.select("query_id", "doc_id", "block", (F.col("partial_score") * F.col("query_tf")).alias("score"))
+    whole, single = pruned_search.frequent_rows(index, asked, found, 5, buckets)
+    assert index.postings.where("term = 'common'").count() == 1000
+    assert whole.count() == 0 and 0 < single.count() <= 40
+    assert 0 < len(buckets) <= 3
+    read = index.within(index.postings, buckets).select(F.input_file_name().alias("f")).distinct().collect()
+    stored = index.postings.select(F.input_file_name().alias("f")).distinct().count()
+    assert {int(r.f.split("bucket=")[1].split("/")[0]) for r in read} <= set(buckets) and len(read) < stored
+    one = spark.createDataFrame([(1, "rare7")], "query_id bigint, text string")
+    assert len(pruned_search._asked(index, one, "query_id", "text", 100)[1]) == 1
