@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import bind
@@ -12,6 +12,8 @@ from millrace.session import stage
 
 # Guards products such as 0.8 * 15 = 12.000000000000002 when they bound counts from below.
 EPS = 1e-9
+#: Slots of the list of frequent tokens, and texts that it is made from, about.
+SLOTS, ORDER_TEXTS = 1 << 16, 2_000
 
 
 def token_sets(texts: DataFrame, k: int = 10) -> DataFrame:
@@ -30,28 +32,47 @@ def min_overlap(n1: Column, n2: Column, threshold: float) -> Column:
     return F.ceil((n1 + n2) * F.lit(threshold / (1 + threshold)) - F.lit(EPS))
 
 
-def prefixes(rows: DataFrame, threshold: float) -> DataFrame:
-    """``(id, n, h, df, pos)``: each set's rarest tokens, as many as similar sets must share one of.
+def frequency_levels(sets: DataFrame, texts: int = ORDER_TEXTS, slots: int = SLOTS) -> bytes:
+    """A byte for each of ``slots``: the doubled logarithm of how many tokens fall into it.
 
-    Tokens are ordered by (document frequency, hash), the same order for all. Of a set of n tokens
-    the first ``n - ceil(t*n) + 1`` suffice: two sets with no common token there have J < t. Tokens
-    of a single text come first in the order but meet nobody: only their number matters, and they
-    leave before the shuffle by text.
+    A token's slot is its hash modulo ``slots``, so this is a bounded list in which frequent tokens stand out.
+    It comes from about ``texts`` texts drawn by id, as it only orders tokens: any order gives the same pairs.
     """
-    freq = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    # Stored, as the join below looks at the frequencies three times.
-    shared = stage(freq.where(F.col("df") > 1), "token-frequencies")
-    kept = attach(rows, shared, ["h"], row_id="id", freq="df")
-    rarest_first = Window.partitionBy("id").orderBy("df", "h")
-    whole = rarest_first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    lone = F.col("n") - F.count(F.lit(1)).over(whole)
-    pos = lone + F.row_number().over(rarest_first)
-    length = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(EPS)) + 1
-    return kept.withColumn("pos", pos).where(F.col("pos") <= length)
+    share = F.greatest(sets.select(F.ceil(F.count(F.lit(1)) / F.lit(texts))).scalar(), F.lit(1))
+    drawn = sets.where(F.pmod(F.xxhash64("id"), share) == 0)
+    counted = token_rows(drawn).groupBy(slot(F.col("h"), slots).alias("slot")).agg(F.count(F.lit(1)).alias("c"))
+    levels = bytearray(slots)
+    # At most ``slots`` rows.
+    for at, level in counted.select("slot", F.round(F.log2(F.col("c") + 1) * 2).cast("int")).collect():
+        levels[at] = level
+    return bytes(levels)
+
+
+def slot(h: Column, slots: int) -> Column:
+    """The slot of a token in :func:`frequency_levels`."""
+    return F.pmod(h, F.lit(slots).cast("bigint"))
+
+
+def prefixes(sets: DataFrame, threshold: float, levels: bytes) -> DataFrame:
+    """``(id, n, h, pos)``: each set's first tokens, as many as similar sets must share one of, cut inside the row.
+
+    Tokens are ordered by (level, hash), the same order for all, frequent ones last. Of a set of n tokens
+    the first ``n - ceil(t*n) + 1`` suffice: two sets with no common token there have J < t.
+    """
+    n = F.size("tokens")
+    level = lambda h: F.substring(F.lit(levels), slot(h, len(levels)).cast("int") + 1, F.lit(1))
+    placed = F.array_sort(F.transform("tokens", lambda h: F.struct(level(h).alias("level"), h.alias("h"))))
+    length = n - F.ceil(n * F.lit(threshold) - F.lit(EPS)).cast("int") + 1
+    first = F.when(n > 0, F.slice(F.transform(placed, lambda x: x["h"]), F.lit(1), length))
+    rows = sets.select("id", n.alias("n"), F.posexplode_outer(first).alias("at", "h"))
+    return rows.where(F.col("h").isNotNull()).select("id", "n", "h", (F.col("at") + 1).alias("pos"))
 
 
 def candidates(prefix: DataFrame, threshold: float) -> DataFrame:
-    """``(id1, id2)``: pairs that pass the length and position bounds. None with J >= t is missing."""
+    """``(id1, id2)``: pairs that pass the length and position bounds. None with J >= t is missing.
+
+    Most tokens of a prefix are in no other: they are counted and leave before pairs are formed.
+    """
 
     def possible(a: Column, b: Column) -> Column:
         needed = min_overlap(a["n"], b["n"], threshold)
@@ -61,7 +82,11 @@ def candidates(prefix: DataFrame, threshold: float) -> DataFrame:
             F.least(a["pos"], b["pos"]) + behind >= needed
         )
 
-    met = pairs_within(prefix, ["h"], "id", "df", ["n", "pos"], possible)
+    frequencies = prefix.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    # Stored, as the join below looks at the frequencies three times.
+    shared = stage(frequencies.where(F.col("df") > 1), "token-frequencies")
+    kept = attach(prefix, shared, ["h"], row_id="id", freq="df")
+    met = pairs_within(kept, ["h"], "id", "df", ["n", "pos"], possible)
     seen = met.groupBy(F.col("a.id").alias("id1"), F.col("b.id").alias("id2")).agg(
         F.count(F.lit(1)).alias("c"),
         F.max("a.n").alias("n1"),
@@ -77,13 +102,13 @@ def candidates(prefix: DataFrame, threshold: float) -> DataFrame:
 def jaccard_pairs(texts: DataFrame, threshold: float = 0.8, k: int = 10) -> DataFrame:
     """``(id1, id2, score)``: all pairs ``id1 < id2`` with Jaccard similarity ``>= threshold``.
 
-    Expects distinct texts (``distinct_texts``). The prefixes, which the self join reads on both
-    sides, are stored between; only the texts of candidate pairs are shingled again, for the exact
-    score.
+    Expects distinct texts (``distinct_texts``). Prefixes are made inside the row and stored, and only they are shuffled.
+    The texts of candidate pairs are shingled again, for the exact score.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
-    prefix = stage(prefixes(token_rows(token_sets(texts, k)), threshold), "prefixes")
+    sets = token_sets(texts, k)
+    prefix = stage(prefixes(sets, threshold, frequency_levels(sets)), "prefixes")
     pairs = candidates(prefix, threshold)
     involved = pairs.select(F.explode(F.array("id1", "id2")).alias("id")).distinct()
     sets = token_sets(texts.join(involved, "id", "left_semi"), k)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import hashing, vectors
 from millrace.operators.shingles import shingle_rows
 from millrace.operators.skew import attach, pairs_within
+from millrace.session import stage
 
 
 def signatures(
@@ -63,39 +64,62 @@ def bucket_sizes(banded: DataFrame) -> DataFrame:
     return banded.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
+def signature_classes(sigs: DataFrame) -> DataFrame:
+    """``(id, first)``: each signature with the smallest id that has an equal one; a star, one row per signature.
+
+    Signatures are compared by a 128-bit digest, so that no signature moves.
+    """
+    keyed = sigs.select("id", F.md5(F.array_join(F.col("sig").cast("array<string>"), ",")).alias("_digest"))
+    firsts = keyed.groupBy("_digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("_n"))
+    return attach(keyed, firsts, ["_digest"], row_id="id", freq="_n").select("id", "first")
+
+
+def candidate_pairs(narrow: DataFrame) -> DataFrame:
+    """``(id1, id2)``: pairs of ids that share a bucket of ``bands``, each once.
+
+    Most buckets hold one document: they are counted and leave. Nothing but ids and keys moves.
+    """
+    shared = bucket_sizes(narrow).where(F.col("n") > 1)
+    live = attach(narrow, shared, ["band", "bucket"], row_id="id", freq="n")
+    met = pairs_within(live, ["band", "bucket"], "id", "n", [], lambda one, other: F.lit(True))
+    return met.select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2")).distinct()
+
+
+def lsh_classes(sigs: DataFrame, r: int = 10, b: int = 9, threshold: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(id1, id2, score)`` between the first ids of different signatures, and ``(id, first)`` of all signatures.
+
+    ``score`` is the share of equal hashes; with a ``threshold`` only pairs scoring at least that much remain. A group of equal
+    signatures takes part as one, so its size does not matter for the pairs. Store the signatures first
+    (``stage``), they are read several times.
+    """
+    members = stage(signature_classes(sigs), "signature-classes")
+    narrow = bands(sigs.join(members.where(F.col("id") == F.col("first")).select("id"), "id", "left_semi"), r, b)
+    pairs = candidate_pairs(narrow)
+    side = lambda id_, sig: sigs.select(F.col("id").alias(id_), F.slice("sig", 1, r * b).alias(sig))
+    score = vectors.equal_share(F.col("_one"), F.col("_other"))
+    scored = pairs.join(side("id1", "_one"), "id1").join(side("id2", "_other"), "id2").select("id1", "id2", score.alias("score"))
+    return (scored if threshold is None else scored.where(F.col("score") >= F.lit(threshold))), members
+
+
 def lsh_pairs(
     sigs: DataFrame,
     r: int = 10,
     b: int = 9,
     threshold: float | None = None,
 ) -> DataFrame:
-    """``(id1, id2, score)``: pairs that share a bucket, ``score`` their share of equal hashes.
+    """``(id1, id2, score)``: all pairs that share a bucket, ``score`` their share of equal hashes.
 
-    With a ``threshold`` only pairs scoring at least that much remain. Give signatures of distinct
-    texts and store them first (``stage``), they are read twice.
-
-    Most buckets hold one document: they are counted on the narrow band rows and dropped before any
-    signature moves. A pair is emitted in the first band it shares, so nothing has to be made
-    distinct afterwards.
+    :func:`lsh_classes` with its stars written out: as many rows as there are pairs. Give signatures of distinct
+    texts, for which equal signatures are few.
     """
-    narrow = bands(sigs, r, b)
-    shared = bucket_sizes(narrow).where(F.col("n") > 1)
-    live = attach(narrow, shared, ["band", "bucket"], row_id="id", freq="n")
-    wide = live.join(
-        sigs.select("id", F.slice("sig", 1, r * b).alias("sig"), band_keys(F.col("sig"), r, b).alias("_keys")),
-        "id",
+    pairs, members = lsh_classes(sigs, r, b, threshold)
+    several = members.groupBy("first").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    grouped = attach(members, several, ["first"], row_id="id", freq="n")
+    equal = pairs_within(grouped, ["first"], "id", "n", [], lambda one, other: F.lit(True)).select(
+        F.col("a.id").alias("id1"), F.col("b.id").alias("id2"), F.lit(1.0).alias("score")
     )
-
-    def wanted(one: Column, other: Column) -> Column:
-        agree = F.zip_with(one["_keys"], other["_keys"], lambda u, v: u == v)
-        keep = F.array_position(agree, F.lit(True)) == one["band"] + 1
-        if threshold is None:
-            return keep
-        return keep & (vectors.equal_share(one["sig"], other["sig"]) >= F.lit(threshold))
-
-    met = pairs_within(wide, ["band", "bucket"], "id", "n", ["band", "sig", "_keys"], wanted)
-    return met.select(
-        F.col("a.id").alias("id1"),
-        F.col("b.id").alias("id2"),
-        vectors.equal_share(F.col("a.sig"), F.col("b.sig")).alias("score"),
+    one, other = (members.select(F.col("id").alias(f"_m{i}"), F.col("first").alias(f"id{i}")) for i in (1, 2))
+    between = pairs.join(one, "id1").join(other, "id2").select(
+        F.least("_m1", "_m2").alias("id1"), F.greatest("_m1", "_m2").alias("id2"), "score"
     )
+    return between.unionByName(equal)

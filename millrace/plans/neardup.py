@@ -26,11 +26,12 @@ def _cleaned(spark, folder):
 
 
 def _texts(spark, folder):
-    return partition_by(sh.distinct_texts(_cleaned(spark, folder)), "id")
+    """Distinct cleaned texts, stored: whatever a query derives from them, ``documents`` is read once."""
+    return stage(partition_by(sh.distinct_texts(_cleaned(spark, folder)), "id"), "texts")
 
 
-def _signatures(spark, folder):
-    return stage(minhash.signatures(_texts(spark, folder), HASHES, K), "signatures")
+def _signatures(texts):
+    return stage(minhash.signatures(texts, HASHES, K), "signatures")
 
 
 def shingles(spark, folder):
@@ -69,11 +70,11 @@ def text_copies(spark, folder):
 
 
 def lsh_candidates(spark, folder):
-    return minhash.lsh_pairs(_signatures(spark, folder), R, B)
+    return minhash.lsh_pairs(_signatures(_texts(spark, folder)), R, B)
 
 
 def lsh_pairs(spark, folder):
-    return minhash.lsh_pairs(_signatures(spark, folder), R, B, T)
+    return minhash.lsh_pairs(_signatures(_texts(spark, folder)), R, B, T)
 
 
 def jaccard_pairs(spark, folder):
@@ -87,21 +88,22 @@ def similar_documents(spark, folder):
 
 
 def pairs_intersect(spark, folder):
-    return quality.common_pairs(jaccard_pairs(spark, folder), lsh_pairs(spark, folder))
+    texts = _texts(spark, folder)
+    return quality.common_pairs(jaccard.jaccard_pairs(texts, T, K), minhash.lsh_pairs(_signatures(texts), R, B, T))
 
 
 def lsh_quality(spark, folder):
     texts = _texts(spark, folder)
     return quality.pair_quality(
-        jaccard.jaccard_pairs(texts, T, K), lsh_pairs(spark, folder), quality.copy_weights(texts, K)
+        jaccard.jaccard_pairs(texts, T, K), minhash.lsh_pairs(_signatures(texts), R, B, T), quality.copy_weights(texts, K)
     )
 
 
 def banding_sweep(spark, folder):
     texts = _texts(spark, folder)
     exact = stage(jaccard.jaccard_pairs(texts, T, K), "exact-pairs")
-    weights = stage(quality.copy_weights(texts, K), "copies")
-    sigs = _signatures(spark, folder)
+    weights = quality.copy_weights(texts, K)
+    sigs = _signatures(texts)
     rows = None
     for r, b in SETTINGS:
         measured = quality.pair_quality(exact, minhash.lsh_pairs(sigs, r, b), weights)
