@@ -10,9 +10,10 @@ A block holds the documents of about one norm. As the norm divides every partial
 low bounds, and a bound per block says much more than one per term.
 
 A query's rarest terms are read first, up to ``first_rows`` postings. The ``k``-th best of their sums is a score that any
-result must reach, as other terms only add. A document that has none of them is a result only where the bounds of the query's
-other terms reach it within the document's block; such blocks are read for the query. A document found already
-stays if its sum and its block's bounds reach it, and only for these the other terms' postings are looked up. No result is lost.
+result must reach, as other terms only add. Of the other terms, those with the least bounds in a block
+are optional there as long as their bounds together do not reach it: a document with only these is no result. The
+postings of the rest are read block by block, which raises the score to reach; then optional terms are looked up only for
+documents whose sum and whose block's bounds of them still reach it. No result is lost.
 """
 
 from __future__ import annotations
@@ -56,16 +57,18 @@ def bucket_of(term: Column, buckets: int) -> Column:
 def write_index(weighted: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Store an index of ``weighted`` ``(doc_id, term, tf, df, idf, norm)`` rows, replacing what is there.
 
-    Ranges run over (bucket, term, block, document): a term of very many postings fills several files,
-    and a file holds few buckets.
+    A bucket's postings are dealt to several files by document, as many as the session's shuffle partitions allow, so that a
+    term of very many postings is no single task's work.
     """
     block = F.floor(F.log2("norm") * BLOCKS_PER_OCTAVE).cast("int")
     rows = postings(weighted.withColumn("_block", block), "_block").select(
         bucket_of(F.col("term"), buckets).alias("bucket"), "term", F.col("_block").alias("block"), "doc_id", "partial_score"
     )
-    order = ["bucket", "term", "block", "doc_id"]
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     spark = weighted.sparkSession
+    order = ["bucket", "term", "block", "doc_id"]
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(-(-tasks // buckets)))
+    rows.repartition(tasks, "bucket", share).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     stored = spark.read.schema(rows.schema).parquet(f"{path}/postings")
     blocks = stored.groupBy("bucket", "term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("partial_score").alias("most"))
     blocks.repartition("bucket").sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
@@ -106,41 +109,58 @@ def _asked(index: Index, queries: DataFrame, query_id: str, query_text: str, fir
     return stage(known.withColumn("rare", rare).drop("df"), "known-terms"), buckets
 
 
-def frequent_rows(index: Index, asked: DataFrame, found: DataFrame, k: int, buckets: list[int]) -> tuple[DataFrame, DataFrame]:
-    """What is read of the terms that are not rare: ``(query_id, doc_id, part)`` for whole blocks, and for found documents.
-
-    ``found`` is ``(query_id, doc_id, block, score)`` after the rare terms.
-    """
+def least_results(found: DataFrame, k: int) -> DataFrame:
+    """``(query_id, least)``: what a result's score must reach, after ``found`` ``(query_id, doc_id, score)``."""
     best = Window.partitionBy("query_id").orderBy(F.desc("score"))
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    # Queries with fewer documents so far have no bound to reach.
-    least = ranked.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score") - SLACK).otherwise(0.0).alias("least"))
+    # Queries with fewer documents so far have no score to reach.
+    return ranked.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score") - SLACK).otherwise(0.0).alias("least"))
+
+
+def optional_terms(index: Index, asked: DataFrame, found: DataFrame, k: int, buckets: list[int]) -> DataFrame:
+    """``(query_id, bucket, term, query_tf, block, bound, optional)`` of the terms that are not rare, per block.
+
+    ``bound`` is the sum of bounds of the terms up to this one, least first.
+    """
     frequent = asked.where(~F.col("rare")).drop("rare")
-    bounds = frequent.join(index.within(index.blocks, buckets), ["bucket", "term"]).groupBy("query_id", "block").agg(
-        F.sum(F.col("most") * F.col("query_tf")).alias("bound")
-    ).join(least, "query_id", "left").select("query_id", "block", "bound", F.coalesce("least", F.lit(0.0)).alias("least"))
-    bounds = stage(bounds.withColumn("open", F.col("bound") >= F.col("least")), "block-bounds")
-    open_ = bounds.where("open").select("query_id", "block")
-    rows = index.within(index.postings, buckets)
-    part = (F.col("partial_score") * F.col("query_tf")).alias("part")
-    whole = rows.join(frequent.join(open_, "query_id"), ["bucket", "term", "block"]).select("query_id", "doc_id", part)
-    live = found.join(bounds, ["query_id", "block"]).where(~F.col("open") & (F.col("score") + F.col("bound") >= F.col("least")))
-    asked_of = live.select("query_id", "block", F.struct("doc_id").alias("doc")).join(frequent, "query_id")
-    single = rows.withColumn("doc", F.struct("doc_id")).join(asked_of, ["bucket", "term", "block", "doc"]).select("query_id", "doc_id", part)
-    return whole, single
+    terms = frequent.join(index.within(index.blocks, buckets), ["bucket", "term"])
+    ordered = Window.partitionBy("query_id", "block").orderBy(F.col("most") * F.col("query_tf"), "term")
+    bound = F.sum(F.col("most") * F.col("query_tf")).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+    summed = terms.select("query_id", "bucket", "term", "query_tf", "block", bound.alias("bound"))
+    optional = F.col("bound") < F.coalesce("least", F.lit(0.0))
+    return summed.join(least_results(found, k), "query_id", "left").withColumn("optional", optional).drop("least")
+
+
+def _added(rows: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+    part = F.col("partial_score") * F.col("query_tf")
+    return rows.join(wanted, on).select("query_id", "block", "doc_id", part.alias("score"))
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("query_id", "doc_id").agg(F.first("block").alias("block"), F.sum("score").alias("score"))
+
+
+def looked_up(rows: DataFrame, found: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    """``(query_id, block, doc_id, score)``: optional terms of the documents of ``found`` that can still be results."""
+    optional = terms.where("optional").drop("optional")
+    bounds = optional.groupBy("query_id", "block").agg(F.max("bound").alias("bound"))
+    live = found.join(bounds, ["query_id", "block"]).join(least_results(found, k), "query_id").where(
+        F.col("score") + F.col("bound") >= F.col("least")
+    )
+    wanted = live.select("query_id", "block", F.struct("doc_id").alias("doc")).join(optional.drop("bound"), ["query_id", "block"])
+    return _added(rows.withColumn("doc", F.struct("doc_id")), wanted.drop("block"), ["bucket", "term", "doc"])
 
 
 def search_index(index: Index, queries: DataFrame, k: int = 10, query_id: str = "query_id", query_text: str = "text",
                  first_rows: int = FIRST_ROWS) -> DataFrame:
     """``(query_id, rank, doc_id, score)``: the same rows as the exhaustive search over the same postings."""
     asked, buckets = _asked(index, queries, query_id, query_text, first_rows)
-    rare = index.within(index.postings, buckets).join(asked.where("rare"), ["bucket", "term"])
-    found = stage(rare.groupBy("query_id", "doc_id").agg(
-        F.first("block").alias("block"), F.sum(F.col("partial_score") * F.col("query_tf")).alias("score")
-    ), "rare-scores")
-    whole, single = frequent_rows(index, asked, found, k, buckets)
-    parts = found.select("query_id", "doc_id", F.col("score").alias("part")).unionByName(whole).unionByName(single)
-    scored = parts.groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
+    rows = index.within(index.postings, buckets)
+    first = stage(_summed(_added(rows, asked.where("rare").drop("rare"), ["bucket", "term"])), "rare-scores")
+    terms = stage(optional_terms(index, asked, first, k, buckets), "optional-terms")
+    needed = terms.where("not optional").drop("bound", "optional")
+    found = stage(_summed(first.unionByName(_added(rows, needed, ["bucket", "term", "block"]))), "found-scores")
+    scored = found.unionByName(looked_up(rows, found, terms, k)).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
     return top_k(scored, k).select(F.col("query_id.id").alias("query_id"), "rank", "doc_id", "score")
 
 

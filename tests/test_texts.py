@@ -145,9 +145,11 @@ def test_frequent_terms_are_read_for_few_documents(spark, tmp_path):
     asked, buckets = pruned_search._asked(index, queries, "query_id", "text", 100)
     rare = index.within(index.postings, buckets).join(asked.where("rare"), ["bucket", "term"])
     found = rare.select("query_id", "doc_id", "block", (F.col("partial_score") * F.col("query_tf")).alias("score"))
-    whole, single = pruned_search.frequent_rows(index, asked, found, 5, buckets)
+    terms = pruned_search.optional_terms(index, asked, found, 5, buckets)
     assert index.postings.where("term = 'common'").count() == 1000
-    assert whole.count() == 0 and 0 < single.count() <= 40
+    assert terms.where("optional").count() > 0 and terms.where("not optional").count() == 0
+    looked_up = pruned_search.looked_up(index.within(index.postings, buckets), found, terms, 5)
+    assert 0 < looked_up.count() <= 40
     assert 0 < len(buckets) <= 3
     read = index.within(index.postings, buckets).select(F.input_file_name().alias("f")).distinct().collect()
     stored = index.postings.select(F.input_file_name().alias("f")).distinct().count()
