@@ -6,13 +6,14 @@ import os
 import re
 import sys
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 
 from millrace.llm.common import sole_cache
 
-#: Pieces between blanks, and words, that a task remembers; only speed depends on them.
-PIECES, WORDS = 400_000, 800_000
+#: Pieces between blanks, and words, that a task remembers of late, and their longest; only speed depends on them.
+PIECES, WORDS, LETTERS = 80_000, 120_000, 40
 #: Letters that every normaliser in use maps one to one, with the signs that may follow; see ``Encoder``.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 #: Byte-level vocabularies write each byte as a character: itself if it is visible, else the next one from 256 on.
@@ -23,15 +24,22 @@ _BYTES = {b: b for b in _VISIBLE} | {b: 256 + i for i, b in enumerate(_HIDDEN)}
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-class _Pieces(dict):
-    """Ids of pieces, found when they are first asked for."""
+class _Memo(dict):
+    """Values found when they are first asked for, and kept for between ``size`` and twice as many keys asked for last."""
 
-    def __init__(self, coder: Encoder):
-        super().__init__({"": b""})
-        self.coder = coder
+    def __init__(self, find: Callable[[str], bytes], size: int):
+        super().__init__()
+        self.find, self.size, self.older = find, size, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        found = self[piece] = self.coder.piece(piece)
+    def __missing__(self, key: str) -> bytes:
+        found = self.older.get(key)
+        if found is None:
+            found = self.find(key)
+        if len(key) <= LETTERS:
+            if len(self) >= self.size:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
         return found
 
 
@@ -53,8 +61,8 @@ class Encoder:
         wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.kind, self.code = ("<u4", "I") if wide else ("<u2", "H")
         self.model = self.tokenizer.model
-        self.words: dict[str, bytes] = {}
-        self.pieces = _Pieces(self)
+        self.words = _Memo(self._word, WORDS)
+        self.pieces = _Memo(self._piece, PIECES)
         self.by_piece = self.checked()
 
     def _packed(self, ids: list[int]) -> bytes:
@@ -73,18 +81,15 @@ class Encoder:
         except Exception:  # a kind of model that cannot be asked for words
             return False
 
-    def piece(self, piece: str) -> bytes:
+    def _piece(self, piece: str) -> bytes:
         plain = _PLAIN.fullmatch(piece)
         if not plain:
-            return self._whole(piece)
-        return self.word(plain[1].lower()) + (self.word(plain[2]) if plain[2] else b"")
+            return self._whole(piece) if piece else b""
+        return self.words[plain[1].lower()] + (self.words[plain[2]] if plain[2] else b"")
 
-    def word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            written = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
-            found = self.words[word] = self._packed([x.id for x in self.model.tokenize(written)])
-        return found
+    def _word(self, word: str) -> bytes:
+        written = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+        return self._packed([x.id for x in self.model.tokenize(written)])
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned numbers of ``kind``; null counts as empty."""
@@ -92,12 +97,7 @@ class Encoder:
             return b""
         if not self.by_piece:
             return self._whole(text)
-        out = b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
-        if len(self.pieces) > PIECES:
-            self.pieces = _Pieces(self)
-        if len(self.words) > WORDS:
-            self.words.clear()
-        return out
+        return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
 
     def ids(self, text: str | None, end: int) -> bytes:
         """``encode`` with an end id."""
