@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.ordered import along_blocks, block_key, explode_range
+from millrace.operators.ordered import along_blocks, block_key, explode_range, with_blocks
 
 
 def forward_fill(
-    df: DataFrame, series: list[str], order: list[str], block: Column, columns: list[str]
+    df: DataFrame, series: list[str], order: list[str], block: Column | None, columns: list[str]
 ) -> DataFrame:
     """Replace NULLs by the last value before them in the series; leading NULLs stay.
 
     Within a block by a window; across blocks each block's last value is carried over, which takes
     one row per block.
     """
-    blocked = df.withColumn("_key", block_key(series, block))
+    blocked = with_blocks(df, series, order, block)
     at = F.struct(*order)
     tails = blocked.groupBy("_key").agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"_tail_{c}") for c in columns]

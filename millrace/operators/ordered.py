@@ -3,7 +3,7 @@
 A window partitioned by series alone puts a whole series into one task. Here a series is cut into
 blocks: the per-row work runs per (series, block), and only one summary row per block is looked at
 per series. ``block`` is any expression that never decreases along the order (a day, a week, a
-range of ids), chosen so that a block fits a task.
+range of ids), chosen so that a block fits a task, or left out: :func:`with_blocks` then makes blocks of about equal size.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import stage
+
 # Rows of a position block; the windows below reach a few rows beyond it.
 BLOCK_ROWS = 65_536
 
@@ -28,23 +30,46 @@ def along_blocks(series: list[str], key: str = "_key"):
     return Window.partitionBy(*whole).orderBy(F.col(f"{key}._block"))
 
 
-def number_rows(df: DataFrame, series: list[str], order: list[str], block: Column) -> DataFrame:
+def with_blocks(df: DataFrame, series: list[str], order: list[str], block: Column | None) -> DataFrame:
+    """Add ``_key``, the :func:`block_key`. Without a ``block`` rows are dealt by ranges of series and order, whose limits
+    Spark draws so that each holds about as many rows, and a range is a block: however many rows a series has in however
+    short a time, they are several tasks' work. The dealt rows are stored, since limits drawn again would differ."""
+    if block is not None:
+        return df.withColumn("_key", block_key(series, block))
+    dealt = df.repartitionByRange(*series, *order).withColumn("_block", F.spark_partition_id())
+    return stage(dealt.withColumn("_key", F.struct(*series, "_block")).drop("_block"), "ranges")
+
+
+def number_rows(df: DataFrame, series: list[str], order: list[str], block: Column | None = None) -> DataFrame:
     """Add ``pos``, a row's position in its series from 0, and ``series_rows``, the series' length."""
-    blocked = df.withColumn("_key", block_key(series, block))
+    blocked = with_blocks(df, series, order, block)
     counts = blocked.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
-    blocks = along_blocks(series)
-    before = blocks.rowsBetween(Window.unboundedPreceding, -1)
-    whole = blocks.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    offsets = counts.select(
-        "_key",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-        F.sum("_n").over(whole).alias("series_rows"),
-    )
+    if series or block is not None:
+        blocks = along_blocks(series)
+        before = blocks.rowsBetween(Window.unboundedPreceding, -1)
+        whole = blocks.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        offsets = counts.select(
+            "_key",
+            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+            F.sum("_n").over(whole).alias("series_rows"),
+        )
+    else:
+        offsets = _range_offsets(counts)
     in_block = Window.partitionBy("_key").orderBy(*order)
     numbered = blocked.withColumn("_at", F.row_number().over(in_block)).join(offsets, "_key")
     return numbered.withColumn("pos", F.col("_before") + F.col("_at") - 1).drop("_key", "_at", "_before")
 
 
+def _range_offsets(counts: DataFrame) -> DataFrame:
+    """Offsets of the ranges of a whole table: a row per range, no more than shuffle partitions, pass the driver."""
+    rows, before = [], 0
+    for at, n in sorted(tuple(r) for r in counts.select("_key._block", "_n").collect()):
+        rows.append((at, before))
+        before += n
+    known = counts.sparkSession.createDataFrame(rows, "_block int, _before bigint")
+    return known.select(F.struct("_block").alias("_key"), "_before", F.lit(before).cast("bigint").alias("series_rows"))
+
+
 def explode_range(df: DataFrame, low: Column, high: Column, name: str, block: int = BLOCK_ROWS) -> DataFrame:
     """One row per integer from ``low`` to ``high``, both included, in the new column ``name``.
 
@@ -93,7 +118,7 @@ def date_split(df: DataFrame, day: str, after: str, until: str) -> DataFrame:
     return kept.withColumn("part", F.when(F.col(day) < end, "train").otherwise("test"))
 
 
-def shards(df: DataFrame, order: str, block: Column, k: int) -> DataFrame:
+def shards(df: DataFrame, order: str, block: Column | None, k: int) -> DataFrame:
     """Add ``shard``: ``k`` contiguous runs of ``ceil(n / k)`` rows, the last ones shorter or empty."""
     numbered = number_rows(df, [], [order], block)
     length = F.ceil(F.col("series_rows") / F.lit(k))

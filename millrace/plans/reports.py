@@ -16,7 +16,6 @@ from millrace.sources.tables import table
 MIN_RATINGS = 30
 SHARDS = 6
 BUDGET = 100.0
-SLICE_DAYS = 15
 
 
 def _ratings(spark, folder):
@@ -44,7 +43,7 @@ def union_listings(spark, folder):
 
 def shard_assign(spark, folder):
     documents = table(spark, folder, "documents", "doc_id")
-    sharded = ordered.shards(documents, "doc_id", F.floor(F.col("doc_id") / F.lit(1_000_000)), SHARDS)
+    sharded = ordered.shards(documents, "doc_id", None, SHARDS)
     return sharded.select("doc_id", "shard")
 
 
@@ -97,8 +96,7 @@ def ledger_replay(spark, folder):
         F.col("event_type") == "click", ledger.SELL
     ).otherwise(2)
     orders = events.withColumn("action", action)
-    slices = F.floor(F.unix_timestamp("ts") / F.lit(SLICE_DAYS * 86400))
-    replayed = ledger.replay(orders, "user_id", ["ts", "event_id"], "value", "action", slices, BUDGET)
+    replayed = ledger.replay(orders, "user_id", ["ts", "event_id"], "value", "action", None, BUDGET)
     return replayed.select(
         "user_id", "event_id", F.col("action").cast("bigint").alias("action"),
         F.col("refused").cast("bigint").alias("refused"), "cash", "position", "reward",

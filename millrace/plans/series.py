@@ -25,8 +25,7 @@ def _ticks(spark, folder):
 
 
 def _filled(spark, folder):
-    week = F.floor(F.unix_timestamp("ts") / F.lit(7 * 86400))
-    carried = fills.forward_fill(_ticks(spark, folder), ["user_id"], ["ts", "event_id"], week, ["price"])
+    carried = fills.forward_fill(_ticks(spark, folder), ["user_id"], ["ts", "event_id"], None, ["price"])
     return fills.constant_fill(carried, ["volume"])
 
 

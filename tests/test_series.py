@@ -130,3 +130,25 @@ def test_prefix_patterns(spark):
     assert row.first_two_alike == pytest.approx(2 / 6)
     assert row.five_uniform == pytest.approx(1 / 6)
     assert row.three_and_two == pytest.approx(3 / 6)
+
+
+def test_a_crowded_hour_is_several_blocks(spark):
+    """Without a block, rows of one series and hour are dealt to several ranges, and fills and numbers do not show it."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = [("a", i, float(i) if i % 97 == 0 else None) for i in range(1, 3000)] + [(None, i, float(i)) for i in range(5)]
+        df = spark.createDataFrame(rows, "s string, t bigint, v double").repartition(5)
+        blocked = ordered.with_blocks(df, ["s"], ["t"], None)
+        assert blocked.where("s = 'a'").select("_key").distinct().count() >= 5
+        filled = {(r.s, r.t): r.v for r in fills.forward_fill(df, ["s"], ["t"], None, ["v"]).collect()}
+        assert len(filled) == len(rows)
+        assert all(filled["a", i] == (float(i - i % 97) if i >= 97 else None) for i in range(1, 3000))
+        numbered = {(r.s, r.t): (r.pos, r.series_rows) for r in ordered.number_rows(df, ["s"], ["t"]).collect()}
+        assert all(numbered["a", i] == (i - 1, 2999) for i in range(1, 3000)) and numbered[None, 3] == (3, 5)
+        sparse = spark.createDataFrame([(i * i * 1_000_003,) for i in range(1000)], "id bigint").repartition(3)
+        found = ordered.shards(sparse, "id", None, 7)
+        assert sorted(r["count"] for r in found.groupBy("shard").count().collect()) == [142] + [143] * 6
+        assert {r.id: r.shard for r in found.collect()} == {i * i * 1_000_003: i // 143 for i in range(1000)}
+        assert "SinglePartition" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
