@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +54,20 @@ def sole_cache(name: str, cache: dict) -> None:
     for other, held in _CACHES.items():
         if other != name and held is not cache:
             held.clear()
+
+
+def give_back() -> None:
+    """Return freed memory to the system. Spark keeps Python workers for later stages, and an idle one would hold on to it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run):
+    """A function for ``mapInArrow`` or ``mapInPandas`` that ends with :func:`give_back`."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        give_back()
+
+    return wrapped

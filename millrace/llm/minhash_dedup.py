@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import sole_cache
+from millrace.llm.common import give_back, lean, sole_cache
 from millrace.llm.components import components
 from millrace.session import stage
 
@@ -162,7 +162,7 @@ def sketches(docs: DataFrame, key: str, text: str, words: int, rows: int, bands:
             )
 
     given = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return given.mapInArrow(sketch, "id long, n long, node binary, bands array<long>")
+    return given.mapInArrow(lean(sketch), "id long, n long, node binary, bands array<long>")
 
 
 def _sets(docs, key, text, words, wanted: DataFrame) -> DataFrame:
@@ -181,7 +181,7 @@ def _sets(docs, key, text, words, wanted: DataFrame) -> DataFrame:
 
     given = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     # At scale the ids are too many to broadcast; the hint keeps the plan the same at every size.
-    found = given.join(wanted.hint("merge"), "id").mapInArrow(shingle, "node binary, items array<long>")
+    found = given.join(wanted.hint("merge"), "id").mapInArrow(lean(shingle), "node binary, items array<long>")
     # Rows repeated under one id give one set more than once.
     return found.dropDuplicates(["node"])
 
@@ -230,6 +230,7 @@ def _search(percent: int):
                 if label[other] != label[lead]:
                     links.append((nodes[lead], nodes[other]))
                     label[label == label[other]] = label[lead]
+        give_back()
         return pd.DataFrame(links, columns=["a", "b"])
 
     return search

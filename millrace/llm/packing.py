@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.common import lean
 from millrace.llm.mixing import line_of
 from millrace.llm.tokens import encoder, wide
 from millrace.session import stage
@@ -57,7 +58,7 @@ def tokenised(docs: DataFrame, path: str, key: str = "doc_id", source: str = "so
             )
 
     given = docs.select(F.col(key).cast("long").alias("id"), line_of(F.col(source)).alias("line"), F.col(text).alias("text"))
-    return given.mapInArrow(encode, "id long, line string, task long, at long, n long, ids binary")
+    return given.mapInArrow(lean(encode), "id long, line string, task long, at long, n long, ids binary")
 
 
 def _phase(line: str, parts: int) -> int:
@@ -156,6 +157,6 @@ def packed(docs: DataFrame, path: str, key: str = "doc_id", source: str = "sourc
     whole = sums.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-whole // PART_TOKENS))
     placed = tokens.join(bases, ["task", "line"]).select("id", "line", (F.col("base") + F.col("at")).alias("first"), "total", "n", "ids")
-    cut = placed.mapInArrow(_cut(parts, kind), "part long, line string, first long, total long, id long, start long, n long, ids binary")
+    cut = placed.mapInArrow(lean(_cut(parts, kind)), "part long, line string, first long, total long, id long, start long, n long, ids binary")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return cut.groupBy("part").applyInPandas(_pack(parts, kind, with_ids), schema + (", ids binary" if with_ids else ""))
