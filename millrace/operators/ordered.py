@@ -70,6 +70,19 @@ def _range_offsets(counts: DataFrame) -> DataFrame:
     return known.select(F.struct("_block").alias("_key"), "_before", F.lit(before).cast("bigint").alias("series_rows"))
 
 
+def sums_before(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """Add ``name``, the sum of ``value`` over all rows before in ``order``; equal rows of the order count as one after another.
+
+    Rows are dealt by ranges of the order and added up within each; the ranges' own sums, one per range, pass the driver.
+    """
+    blocked = with_blocks(df, [], order, None)
+    totals = blocked.groupBy("_key").agg(F.sum(value).alias("_n"))
+    inside = Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = blocked.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    joined = local.join(_range_offsets(totals).select("_key", "_before"), "_key")
+    return joined.withColumn(name, F.col("_before") + F.col("_inside")).drop("_key", "_before", "_inside")
+
+
 def explode_range(df: DataFrame, low: Column, high: Column, name: str, block: int = BLOCK_ROWS) -> DataFrame:
     """One row per integer from ``low`` to ``high``, both included, in the new column ``name``.
 

@@ -9,8 +9,8 @@ from millrace.functions.text import escape_field
 from millrace.operators import clustering, ledger, ordered, prefixes, ratings
 from millrace.session import new_path, spread
 from millrace.sources import pages as pg
-from millrace.sources.readers import read_tsv, union_all
-from millrace.sources.sinks import write_tsv
+from millrace.sources.readers import number_lines, read_field, read_prices, read_ratings, read_tsv, union_all
+from millrace.sources.sinks import stored, write_tsv
 from millrace.sources.tables import table
 
 MIN_RATINGS = 30
@@ -118,6 +118,66 @@ def cluster_sse(spark, folder):
     return costs.select(F.col("label").cast("bigint").alias("label"), "n", F.round("sse", 6).alias("sse"))
 
 
+def taken_orders(spark, folder):
+    """The steps of the ledger that asked to buy."""
+    return ledger.taken(ledger_replay(spark, folder), ledger.BUY)
+
+
+def field_round_trip(spark, folder):
+    """Documents as a TSV file without header, of which one field is read by its position."""
+    path = new_path(spark, "headerless")
+    write_tsv(table(spark, folder, "documents"), path, ["doc_id", "source", "text"], header=False)
+    return read_field(spark, path, 2)
+
+
+def ratings_round_trip(spark, folder):
+    """Ratings as a two-column TSV file, read back and counted."""
+    path = new_path(spark, "ratings")
+    rows = _ratings(spark, folder).select("item", F.col("rating").cast("int").alias("rating"))
+    write_tsv(rows, path, ["item", "rating"], header=False)
+    return read_ratings(spark, path).groupBy("item").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("rating").alias("total"), F.max("rating").alias("most")
+    )
+
+
+def prices_round_trip(spark, folder):
+    """A day's prices of orders as a CSV file with header, missing ones NaN; read with its types."""
+    path = new_path(spark, "prices")
+    orders = table(spark, folder, "orders", "o_orderdate", "o_orderstatus", "o_totalprice")
+    price = F.col("o_totalprice").cast("double")
+    open_ = F.max(F.when(F.col("o_orderstatus") == "O", price))
+    missing = lambda c: F.coalesce(c, F.lit(float("nan")))
+    days = orders.groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(
+        missing(open_).alias("Open"), F.max(price).alias("High"), F.min(price).alias("Low"), missing(open_).alias("Close"),
+        F.count(F.lit(1)).cast("double").alias("Volume_(BTC)"),
+    )
+    stamp = F.unix_timestamp(F.col("day").cast("timestamp")).alias("Timestamp")
+    days.select(stamp, "Open", "High", "Low", "Close", "`Volume_(BTC)`", F.lit(0.0).alias("Volume_(Currency)"), F.lit(float("nan")).alias("Weighted_Price")).write.csv(
+        path, header=True
+    )
+    read = read_prices(spark, path)
+    return read.select(
+        F.to_date("ts").alias("day"), F.col("Timestamp").alias("stamp"), F.col("Open").alias("open_price"), F.col("High").alias("high"),
+        F.col("Low").alias("low"), F.col("`Volume_(BTC)`").alias("volume"), F.col("Weighted_Price").alias("weighted"),
+    )
+
+
+def numbered_lines(spark, folder):
+    """Documents written in order of id; their lines numbered in file order, from 1."""
+    path = new_path(spark, "lines")
+    documents = table(spark, folder, "documents", "doc_id").where(F.col("doc_id").isNotNull())
+    documents.orderBy("doc_id").select(F.col("doc_id").cast("string").alias("value")).write.text(path)
+    return number_lines(spark.read.text(path), start=1).select("line", F.col("value").cast("bigint").alias("doc_id"))
+
+
+def stored_counts(spark, folder):
+    """Documents per source and language, kept under their parameters and input; the second use reads the first one's files."""
+    base, documents = new_path(spark, "stored"), table(spark, folder, "documents", "source", "lang", "n_chars")
+    build = lambda: documents.where(F.col("n_chars") >= 100).groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+    stored(spark, base, "counts", {"least": 100}, build, source=documents)
+    return stored(spark, base, "counts", {"least": 100}, lambda: build().limit(0), source=documents)
+
+
 QUERIES = {
     "top_items_by_count": top_items_by_count,
     "top_items_by_mean": top_items_by_mean,
@@ -134,6 +194,12 @@ QUERIES = {
     "ledger_replay": ledger_replay,
     "kmeans1d": kmeans1d,
     "cluster_sse": cluster_sse,
+    "taken_orders": taken_orders,
+    "field_round_trip": field_round_trip,
+    "ratings_round_trip": ratings_round_trip,
+    "prices_round_trip": prices_round_trip,
+    "numbered_lines": numbered_lines,
+    "stored_counts": stored_counts,
 }
 
 def _decoded(sql: str) -> str:
@@ -274,4 +340,21 @@ ORACLE = {
                    FROM embeddings),
         d AS (SELECT label, dim, count(*) AS n, var_pop(x) AS v FROM l GROUP BY 1, 2)
         SELECT label::BIGINT AS label, max(n) AS n, round(sum(v * n), 6) AS sse FROM d GROUP BY 1""",
+    "field_round_trip": r"""
+        SELECT replace(replace(replace(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'),
+                       chr(10), ' '), chr(9), ' '), chr(13), '') AS text FROM documents""",
+    "ratings_round_trip": """
+        SELECT l_partkey::VARCHAR AS item, count(*) AS n, sum(l_quantity::INTEGER)::BIGINT AS total,
+               max(l_quantity::INTEGER) AS most FROM lineitem GROUP BY 1""",
+    "prices_round_trip": """
+        SELECT o_orderdate::DATE AS day, epoch(o_orderdate::DATE::TIMESTAMP)::BIGINT AS stamp,
+               max(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END)::DOUBLE AS open_price,
+               max(o_totalprice)::DOUBLE AS high, min(o_totalprice)::DOUBLE AS low, count(*)::DOUBLE AS volume,
+               NULL::DOUBLE AS weighted
+        FROM orders GROUP BY 1, 2""",
+    "numbered_lines": """
+        SELECT row_number() OVER (ORDER BY doc_id) AS line, doc_id FROM documents WHERE doc_id IS NOT NULL""",
+    "stored_counts": """
+        SELECT source, lang, count(*) AS n FROM documents WHERE n_chars >= 100 GROUP BY 1, 2""",
 }
+ORACLE["taken_orders"] = f"SELECT * FROM ({ORACLE['ledger_replay']}) WHERE action = 0"

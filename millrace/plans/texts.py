@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from millrace.operators import pruned_search, tfidf
 from millrace.operators import search as se
 from millrace.session import new_path, spread
+from millrace.sources.sinks import write_readable_index
 from millrace.sources.tables import table
 from millrace.streaming.index_stream import grow, grown_weights
 from millrace.streaming.search_stream import answer_stream
@@ -91,6 +92,19 @@ def index_growth(spark, folder):
     return pruned_search.dictionary(grown_weights(spark, f"{base}/store"))
 
 
+def readable_index(spark, folder):
+    """The index as text lines in order of terms, read back."""
+    path = new_path(spark, "readable")
+    write_readable_index(tfidf.postings(tfidf.weights(_tokens(spark, folder))), path)
+    parts = F.split("value", "\t", 2)
+    entries = F.from_json(F.get(parts, F.lit(1)), "array<struct<doc_id:bigint,partial_score:double>>")
+    lines = spark.read.text(path).select(F.get(parts, F.lit(0)).alias("term"), entries.alias("entries"))
+    total = F.aggregate("entries", F.lit(0.0), lambda a, e: a + e["partial_score"])
+    return lines.groupBy("term").agg(
+        F.sum(F.size("entries")).alias("df"), F.min(F.col("entries")[0]["doc_id"]).alias("first_doc"), F.round(F.sum(total), 6).alias("total")
+    )
+
+
 QUERIES = {
     "tokens": tokens,
     "doc_freq": doc_freq,
@@ -101,6 +115,7 @@ QUERIES = {
     "search_hydrate": search_hydrate,
     "search_stream": search_stream,
     "index_growth": index_growth,
+    "readable_index": readable_index,
 }
 
 
@@ -156,4 +171,7 @@ ORACLE = {
         WITH {_WEIGHTS}
         SELECT term, count(*) AS df, round(max(partial_score), 6) AS most, round(sum(partial_score), 6) AS total
         FROM p GROUP BY term""",
+    "readable_index": f"""
+        WITH {_WEIGHTS}
+        SELECT term, count(*) AS df, min(doc_id) AS first_doc, round(sum(partial_score), 6) AS total FROM p GROUP BY term""",
 }

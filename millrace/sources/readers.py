@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.operators.ordered import sums_before
+
 # Column names and types of the files read.
 LISTING_COLUMNS = ["title", "href", "city", "timestamp", "description"]
 LONG_LISTING_COLUMNS = ["title", "href", "city", "timestamp", "full_description"]
@@ -58,19 +60,18 @@ def read_prices(spark: SparkSession, path: str, infer: bool = False) -> DataFram
 def number_lines(df: DataFrame, start: int = 0, name: str = "line") -> DataFrame:
     """Number the rows of a file scan in file order.
 
-    A row's number within its split follows from Spark's increasing ids; one row per split is gathered to
-    add up the lengths of the splits before it, and joined to the rows. As long as the list of splits is below the
-    broadcast threshold the rows stay where they are.
+    A row's number within its split follows from Spark's increasing ids; the lengths of the splits before it are added
+    up over ranges of splits, and joined to the rows. As long as the list of splits is below the broadcast threshold the
+    rows stay where they are.
     """
     block = {"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start")}
     tagged = df.select("*", *[c.alias(n) for n, c in block.items()])
     tagged = tagged.withColumn("_row", F.monotonically_increasing_id())
     splits = tagged.groupBy(*block).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(F.lit(0)).orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select(*block, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    offsets = sums_before(splits, list(block), "_n", "_lines").select(*block, "_first", "_lines")
     joined = tagged.join(offsets, list(block))
-    number = F.col("_before") + F.col("_row") - F.col("_first") + F.lit(start)
-    return joined.withColumn(name, number).drop(*block, "_row", "_first", "_before")
+    number = F.col("_lines") + F.col("_row") - F.col("_first") + F.lit(start)
+    return joined.withColumn(name, number).drop(*block, "_row", "_first", "_lines")
 
 
 def union_all(*frames: DataFrame) -> DataFrame:

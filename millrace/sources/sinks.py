@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,12 +54,27 @@ def write_readable_index(postings: DataFrame, path: str, per_line: int = 100_000
     ordered.select(line.alias("value")).write.text(path)
 
 
+def fingerprint(df: DataFrame) -> str:
+    """A digest of the names, sizes and times of change of the files that a frame reads."""
+    spark = df.sparkSession
+    digest = hashlib.md5()
+    for name in sorted(df.inputFiles()):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+        digest.update(f"{name} {status.getLen()} {status.getModificationTime()}\n".encode())
+    return digest.hexdigest()
+
+
 def stored(
     spark: SparkSession, folder: str, name: str, parameters: dict, build: Callable[[], DataFrame],
-    refresh: bool = False,
+    refresh: bool = False, source: DataFrame | None = None,
 ) -> DataFrame:
-    """A result kept on disk under its name and all its parameters; built on first use."""
-    key = "_".join(f"{k}-{parameters[k]}" for k in sorted(parameters))
+    """A result kept on disk under its name and all its parameters; built on first use.
+
+    With ``source``, the frame that it is made of, the files behind that are part of the key: new input is a new result.
+    """
+    known = parameters | ({} if source is None else {"input": fingerprint(source)})
+    key = "_".join(f"{k}-{known[k]}" for k in sorted(known))
     path = f"{folder}/{name}_{key}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     exists = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
