@@ -6,9 +6,11 @@ the byte if it was seen there (count / (n + d), with n occurrences of the contex
 otherwise an escape of probability d / (n + d) is coded and the next shorter context is tried, down to the
 uniform code of 1/256. The language with the shortest code wins.
 
-Training reads at most ``SAMPLE_DOCS`` documents of each label, those with the smallest hash of id and text.
-Counting is a Spark aggregation; what reaches the driver is the model, at most ``MAX_CONTEXTS`` contexts of
-three bytes. Prediction is one pass over the texts without a shuffle.
+Training reads at most ``SAMPLE_DOCS`` documents of each label, those with the smallest hash of id and text; equal rows
+count once. Counting is a Spark aggregation; what reaches the driver is the model, all contexts of up to
+three bytes in the sampled documents. A worker holds them as sorted lists per language, so a language with few or
+multi-byte texts keeps every context whatever the others have. Prediction is one pass over the texts without a shuffle, in which
+each distinct run of four bytes of a chunk is priced once.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; ties go to the first label in
 code-point order; an empty or unlabelled training set makes every text ``und``. Rows keep all their other
@@ -28,11 +30,9 @@ from millrace.llm.common import sole_cache
 
 #: Documents sampled for each label.
 SAMPLE_DOCS = 400
-#: Contexts of full order that the model keeps, the most frequent first.
-MAX_CONTEXTS = 40_000
 ORDER = 3
 #: Bytes coded at a time; bounds a task's memory however long a text is.
-CHUNK = 1 << 19
+CHUNK = 1 << 20
 UNDETERMINED = "und"
 HAS_LETTER = r"\p{L}"
 SCORED = "lang_pred string, score double, bits_per_byte double"
@@ -56,24 +56,21 @@ def _count(batches):
 
 
 def train(labelled: DataFrame, label: str = "lang", text: str = "text", key: str = "doc_id",
-          sample_docs: int = SAMPLE_DOCS, max_contexts: int = MAX_CONTEXTS) -> dict:
+          sample_docs: int = SAMPLE_DOCS) -> dict:
     """Frozen counts of the labelled rows; see the module for the bounds."""
-    order = Window.partitionBy("label").orderBy("draw", "id")
     usable = labelled.select(F.col(label).alias("label"), F.col(text).alias("text"), F.col(key).alias("id")).where(
         F.col("label").isNotNull() & F.col("text").isNotNull()
-    )
-    counts = usable.groupBy("label").count().collect()  # one row per language
+    ).withColumn("hash", F.xxhash64("id", "text"))
+    distinct = usable.select("label", "hash").distinct()
+    counts = distinct.groupBy("label").count().collect()  # one row per language
     if not counts:
         return {"id": uuid.uuid4().hex, "labels": []}
     # A draw by hash passes about four times the sample of a large label, so that few rows are ranked.
     limits = F.create_map(*[F.lit(x) for r in counts for x in (r["label"], 4.0 * sample_docs / r["count"])])
-    sample = (
-        usable.withColumn("draw", F.pmod(F.xxhash64("id", "text"), F.lit(1 << 31)) / F.lit(float(1 << 31)))
-        .where(F.col("draw") < limits[F.col("label")])
-        .withColumn("at", F.row_number().over(order))
-        .where(F.col("at") <= sample_docs)
-        .select("label", "text")
-    )
+    draw = F.pmod("hash", F.lit(1 << 31)) / F.lit(float(1 << 31))
+    drawn = usable.where(draw < limits[F.col("label")]).groupBy("label", "hash").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("label").orderBy(draw, "hash")
+    sample = drawn.withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample_docs).select("label", "text")
     rows = (
         sample.mapInPandas(_count, "label string, gram long, n long")
         .groupBy("label", "gram").agg(F.sum("n").alias("n"))
@@ -86,107 +83,85 @@ def train(labelled: DataFrame, label: str = "lang", text: str = "text", key: str
         "label": rows["label"].map({x: i for i, x in enumerate(labels)}).to_numpy(np.int32),
         "gram": rows["gram"].to_numpy(np.int64),
         "n": rows["n"].to_numpy(np.int64),
-        "max_contexts": max_contexts,
     }
 
 
-def _marginal(gram, n, order: int):
-    """Counts of contexts of ``order`` bytes with their successor, from those of full order."""
-    kept, where = np.unique(gram & ((1 << (8 * (order + 1))) - 1), return_inverse=True)
-    return kept, np.bincount(where, weights=n, minlength=len(kept))
+def _orders(gram: np.ndarray, n: np.ndarray) -> list[tuple]:
+    """Per order, longest first: runs of context and byte with their bits, and contexts with the bits of an escape."""
+    out = []
+    for order in range(ORDER, -1, -1):
+        runs, where = np.unique(gram & ((1 << (8 * (order + 1))) - 1), return_inverse=True)
+        count = np.bincount(where, weights=n, minlength=len(runs))
+        contexts, of = np.unique(runs >> 8, return_inverse=True)
+        total, distinct = np.bincount(of, weights=count), np.bincount(of)
+        out.append((runs, -np.log2(count / (total + distinct)[of]), contexts, -np.log2(distinct / (total + distinct))))
+    return out
 
 
-def _tables(model: dict):
-    """Bits of each (state, symbol, language); a state is the longest context that any language knows."""
+def _tables(model: dict) -> list[list[tuple]]:
+    """The orders of each language."""
     sole_cache("language", _TABLES)
-    if model["id"] in _TABLES:
-        return _TABLES[model["id"]]
-    gram, n, label = model["gram"], model["n"], model["label"]
-    seen = np.unique([(gram >> shift) & 255 for shift in (0, 8, 16, 24)])
-    size = len(seen) + 1  # the last symbol stands for bytes never seen
-    symbol = np.full(256, size - 1, dtype=np.int64)
-    symbol[seen] = np.arange(len(seen))
-
-    totals = np.unique(gram >> 8, return_inverse=True)
-    weight = np.bincount(totals[1], weights=n, minlength=len(totals[0]))
-    full = np.sort(totals[0][np.lexsort((totals[0], -weight))[: model["max_contexts"]]])
-    levels = [np.zeros(1, np.int64)]
-    for order in (1, 2):
-        levels.append(np.unique(full & ((1 << (8 * order)) - 1)))
-    levels.append(full)
-    start = np.cumsum([0] + [len(x) for x in levels])
-    bits = np.empty((start[-1], size, len(model["labels"])), dtype=np.float32)
-    for i in range(len(model["labels"])):
-        own = label == i
-        shorter = np.full((1, size), 1 / 256)
-        for order, contexts in enumerate(levels):
-            if order:
-                parents = contexts & ((1 << (8 * (order - 1))) - 1)
-                shorter = shorter[np.searchsorted(levels[order - 1], parents)]
-            kept, count = _marginal(gram[own], n[own], order)
-            context = kept >> 8
-            at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
-            there = contexts[at] == context
-            at, count, follow = at[there], count[there], symbol[kept[there] & 255]
-            total = np.bincount(at, weights=count, minlength=len(contexts))
-            distinct = np.bincount(at, minlength=len(contexts))
-            known = total > 0
-            escape = np.ones(len(contexts))
-            escape[known] = distinct[known] / (total + distinct)[known]
-            p = shorter * escape[:, None]
-            p[at, follow] = count / (total + distinct)[at]
-            bits[start[order] : start[order + 1], :, i] = -np.log2(p)
-            shorter = p
-    # The longest known context of any three symbols.
-    state = np.zeros((size, size, size), dtype=np.int32)
-    for order, contexts in enumerate(levels[1:], 1):
-        ids = np.arange(start[order], start[order + 1])
-        syms = [symbol[(contexts >> (8 * k)) & 255] for k in range(order)]
-        if order == 1:
-            state[:, :, syms[0]] = ids
-        elif order == 2:
-            state[:, syms[1], syms[0]] = ids
-        else:
-            state[syms[2], syms[1], syms[0]] = ids
-    _TABLES.clear()
-    _TABLES[model["id"]] = (symbol, size, state.reshape(-1), bits.reshape(-1, bits.shape[2]))
+    if model["id"] not in _TABLES:
+        _TABLES.clear()
+        _TABLES[model["id"]] = [_orders(model["gram"][own], model["n"][own]) for own in (model["label"] == i for i in range(len(model["labels"])))]
     return _TABLES[model["id"]]
 
 
+def _held(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where sorted ``keys`` have the wanted ones, and which of these they have."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def _priced(orders: list[tuple], grams: np.ndarray) -> np.ndarray:
+    """Bits of the last byte of each run of four, after the other three, under one language."""
+    bits = np.full(len(grams), 8.0)
+    open_ = np.arange(len(grams))
+    escaped = np.zeros(len(grams))
+    for order, (runs, seen, contexts, escape) in zip(range(ORDER, -1, -1), orders):
+        key = grams[open_] & ((1 << (8 * (order + 1))) - 1)
+        at, hit = _held(runs, key)
+        bits[open_[hit]] = seen[at[hit]]
+        open_, key = open_[~hit], key[~hit]
+        at, known = _held(contexts, key >> 8)
+        escaped[open_[known]] += escape[at[known]]
+    return bits + escaped
+
+
 def code_lengths(model: dict, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Bits of each text under each language, and its bytes."""
-    symbol, size, state, bits = _tables(model)
+    tables = _tables(model)
     coded = [x.encode("utf-8", "surrogatepass") for x in texts]
     lengths = np.array([len(x) for x in coded], dtype=np.int64)
-    found = np.zeros((len(coded), bits.shape[1]))
+    found = np.zeros((len(coded), len(tables)))
     first = 0
     while first < len(coded):
         last, room = first, 0
         while last < len(coded) and (last == first or room + lengths[last] <= CHUNK):
             room += lengths[last]
             last += 1
-        found[first:last] = _code(coded[first:last], symbol, size, state, bits)
+        found[first:last] = _code(coded[first:last], tables)
         first = last
     return found, lengths
 
 
-def _code(coded, symbol, size, state, bits):
+def _code(coded: list[bytes], tables: list[list[tuple]]) -> np.ndarray:
     pad = b"\n" * ORDER
     whole = np.frombuffer(b"".join(pad + x for x in coded), dtype=np.uint8)
-    doc = np.repeat(np.arange(len(coded)), [len(x) + ORDER for x in coded])
+    sizes = np.array([len(x) + ORDER for x in coded])
+    doc = np.repeat(np.arange(len(coded), dtype=np.int32), sizes)
     coding = np.ones(len(whole), dtype=bool)
-    starts = np.cumsum([0] + [len(x) + ORDER for x in coded[:-1]])
+    starts = np.cumsum(sizes) - sizes
     for k in range(ORDER):
         coding[starts + k] = False
-    found = np.zeros((len(coded), bits.shape[1]))
+    found = np.zeros((len(coded), len(tables)))
     for at in range(ORDER, len(whole), CHUNK):
-        s = symbol[whole[at - ORDER : at + CHUNK]]
-        context = (s[:-3] * size + s[1:-2]) * size + s[2:-1]
-        row = state[context].astype(np.int64) * size + s[3:]
+        b = whole[at - ORDER : at + CHUNK].astype(np.uint32)
         use = coding[at : at + CHUNK]
-        row, of = row[use], doc[at : at + CHUNK][use]
-        for i in range(bits.shape[1]):
-            found[:, i] += np.bincount(of, weights=bits[row, i], minlength=len(coded))
+        grams, where = np.unique(((b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:])[use], return_inverse=True)
+        grams, of = grams.astype(np.int64), doc[at : at + CHUNK][use]
+        for i, orders in enumerate(tables):
+            found[:, i] += np.bincount(of, weights=_priced(orders, grams)[where], minlength=len(coded))
     return found
 
 
@@ -218,5 +193,5 @@ def held_out(key: Column) -> Column:
 
 
 def identify(docs: DataFrame, model: dict, text: str = "text", column: str = "language") -> DataFrame:
-    """``docs`` with one more struct column, the prediction."""
-    return docs.select("*", predicted(model, F.col(text)).alias(column))
+    """``docs`` with one more struct column, the prediction, instead of any of that name."""
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != column], predicted(model, F.col(text)).alias(column))
