@@ -11,7 +11,8 @@ shingles that lies within ``1.25 n`` consecutive shingles of the text must be ``
 
 Templates are a parameter of bounded size; their index is a literal in the plan. So the texts are read once, and
 nothing is joined or shuffled. Defined results: null texts and texts under five words match nothing; rows repeated
-match repeatedly; a template under five words is refused.
+match repeatedly; a template under five words is refused. A template of fewer than five shingles has windows of one: its
+shingles are looked up as they are. Notices that share most of their words, as those of one family do, may each be found.
 """
 
 from __future__ import annotations
@@ -51,6 +52,45 @@ TEMPLATES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
         "following conditions are met"
     ),
+    "BSD-3-endorsement": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission."
+    ),
+    "MPL-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+    "LGPL-header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any "
+        "later version."
+    ),
+    "AGPL-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
+        "later version."
+    ),
+    "ISC-permission": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies."
+    ),
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC0-1.0": "has waived all copyright and related or neighboring rights to this work",
+    "EPL-2.0-header": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+        "which is available at https://www.eclipse.org/legal/epl-2.0/"
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, "
+        "compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
+        "commercial or non-commercial, and by any means."
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+        "liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for "
+        "any purpose, including commercial applications, and to alter it and redistribute it freely"
+    ),
 }
 
 
@@ -123,8 +163,9 @@ def _best(found: Column, template: dict) -> Column:
     places = F.filter(F.transform(found, lambda x, i: F.when(x.isin(own), F.struct(i.alias("at"), x.alias("x")))), lambda p: p.isNotNull())
 
     def scored(listed):
-        def share(p):
-            near = F.filter(listed, lambda q: (q["at"] >= p["at"]) & (q["at"] < p["at"] + reach))
+        def share(p, i):
+            # Places ascend, so at most as many of them lie within reach; the work grows with the text, not its square.
+            near = F.filter(F.slice(listed, i + 1, reach), lambda q: q["at"] < p["at"] + reach)
             distinct = F.size(F.array_distinct(F.transform(near, lambda q: q["x"])))
             return F.struct((distinct / F.lit(float(len(own)))).alias("containment"), (-p["at"]).alias("minus"))
 
