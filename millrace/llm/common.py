@@ -20,6 +20,14 @@ def documents(spark: SparkSession, folder: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, with signs added until ``docs`` has no column of that name."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

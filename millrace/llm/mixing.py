@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD, partitions_for, word_count
+from millrace.llm.common import WORD, partitions_for, unused, word_count
 from millrace.session import stage
 
 BLOCK, SHARD = 64, 1024
@@ -173,17 +173,16 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", source: str = "source"
     parts = mixed(rows, plan, seed).groupBy("id", "row", "line", "start", "size", "pass").agg(
         F.array_sort(F.collect_list(F.struct("start_word", "words"))).alias("_parts"), F.sum("words").alias("_taken")
     )
+    held, own, row, whole, parts_, units = (unused(docs, f"_{x}") for x in ("id", "key", "row", "whole", "parts", "units"))
     parts = parts.select(
-        F.col("id").alias("_id"), F.col("row").alias("_row"), "_parts", (F.col("_taken") == F.col("size")).alias("_whole")
+        F.col("id").alias(held), F.col("row").alias(row), F.col("_parts").alias(parts_), (F.col("_taken") == F.col("size")).alias(whole)
     )
     # Rows equal in every column have one hash; each of them has parts of its own.
-    given = docs.withColumn("_key", F.xxhash64(*[docs[c] for c in columns])).dropDuplicates([key, "_key"])
-    units = F.regexp_extract_all(F.col(text), F.lit(rf"{WORD}[\x20\x09-\x0D]*"), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice(
-        F.col("_units"), (p["start_word"] + 1).cast("int"), p["words"].cast("int")))), "")
-    met = given.join(parts, (F.col("_key") == F.col("_row")) & F.col(key).eqNullSafe(F.col("_id"))).withColumn(
-        "_units", F.when(~F.col("_whole"), units)
-    )
-    return met.withColumn("_text", F.when(F.col("_whole"), F.col(text)).otherwise(cut)).select(
-        *[F.col("_text").alias(c) if c == text else F.col(c) for c in columns]
+    given = docs.withColumn(own, F.xxhash64(*[docs[c] for c in columns])).dropDuplicates([key, own])
+    found = F.regexp_extract_all(F.col(text), F.lit(rf"{WORD}[\x20\x09-\x0D]*"), F.lit(0))
+    cut = F.array_join(F.flatten(F.transform(parts_, lambda p: F.slice(
+        F.col(units), (p["start_word"] + 1).cast("int"), p["words"].cast("int")))), "")
+    met = given.join(parts, (F.col(own) == F.col(row)) & F.col(key).eqNullSafe(F.col(held))).withColumn(
+        units, F.when(~F.col(whole), found)
     )
+    return met.select(*[F.when(F.col(whole), F.col(text)).otherwise(cut).alias(c) if c == text else met[c] for c in columns])

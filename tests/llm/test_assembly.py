@@ -427,3 +427,51 @@ def test_every_stage_keeps_the_columns_of_documents(spark):
         if name != corpus_pipeline.STAGES[-1][0]:
             assert docs.columns == columns
     assert docs.count() > 0
+
+
+# Each stage alone, on rows that a corpus may hold.
+
+CLASH = ("_id", "_nodes", "_node", "_language", "_secrets", "_key", "_row", "_parts", "_units", "_whole", "row", "size", "line", "quality", "id", "ids")
+STAGE_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASH)
+
+
+def _stage_rows():
+    rng = random.Random(12)
+    prose = lambda: " ".join(rng.choice(["the", "mountain", "river", "house", "and", "walked", "blue", "slowly", "over"]) for _ in range(80))
+    plain = [(i, prose(), "en", f"s{i % 3}") for i in range(30)]
+    rows = [*plain, *ODD, (40, plain[0][1], "en", "s9"), (41, plain[1][1] + " end", None, "s9"), (42, "key is token=Zk3v9XpQ7LmT2 here and more words", "en", None)]
+    return [(i, t, lang, s, len(t) if t else None, *[f"{c}{k}" for c in CLASH]) for k, (i, t, lang, s) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES[:4])
+def test_pipeline_stages_keep_columns_and_take_odd_rows(spark, name, stage):
+    rows = _stage_rows()
+    docs = spark.createDataFrame(rows, STAGE_SCHEMA)
+    out = stage(spark, docs, None)
+    assert out.schema.names == docs.schema.names
+    found = out.collect()
+    given = {tuple(r[5:]): r for r in rows}
+    for r in found:  # other columns stay with their row
+        own = given[tuple(r[c] for c in CLASH)]
+        assert (r["doc_id"], r["lang"], r["source"]) == (own[0], own[2], own[3])
+    ids = {tuple(r[c] for c in CLASH) for r in found}
+    gone = [r for k, r in given.items() if k not in ids]
+    texts = {r["doc_id"]: r["text"] for r in found}
+    if name == "languages":
+        assert {r[0] for r in gone} >= {1, 2, 3} and not {r[0] for r in gone} & set(range(4, 31)) - {4, 5, 8}
+    elif name == "near_duplicates":
+        assert {r[0] for r in gone} == {40, 41}
+    elif name == "secrets":
+        assert not gone and "Zk3v9XpQ7LmT2" not in texts[42] and texts[20] == rows[20][1]
+        assert all(r["n_chars"] == (len(r["text"]) if r["text"] is not None else None) for r in found)
+    else:
+        assert all(r["text"] in (t := given[tuple(r[c] for c in CLASH)][1]) or set(r["text"].split()) <= set(t.split()) for r in found)
+    empty = stage(spark, docs.limit(0), None)
+    assert empty.schema.names == docs.schema.names and empty.count() == 0
+
+
+def test_last_stage_takes_odd_rows(spark):
+    docs = spark.createDataFrame(_stage_rows(), STAGE_SCHEMA)
+    found = corpus_pipeline.sequences(spark, docs, None).collect()
+    _check_packing(spark, [r[:4] for r in _stage_rows()], found)
+    assert corpus_pipeline.sequences(spark, docs.limit(0), None).count() == 0

@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -78,6 +79,30 @@ def test_code_lengths_equal_a_direct_count(spark):
     assert sizes.tolist() == [len(t.encode()) for t in texts]
 
 
+def test_repeated_rows_lose_no_language(spark):
+    """A label of many rows that are one row over and over is learned like any other."""
+    for one in range(100, 104):
+        rows = [(i, f"the quick brown fox number {i} jumps over it", "en", "s") for i in range(50)]
+        model = language_id.train(table(spark, rows + [(one, "le petit chat noir dort", "fr", "s")] * 3000))
+        assert model["labels"] == ["en", "fr"]
+
+
+def test_many_languages_in_two_scripts(spark):
+    """Languages with few and multi-byte texts keep all their contexts beside ones with many."""
+    rng = random.Random(5)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщ"]
+    words = {k: ["".join(rng.choice(alphabets[k % 2]) for _ in range(rng.randrange(3, 8))) for _ in range(25)] for k in range(60)}
+    say = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    rows = [(1000 * k + i, say(k, 12), f"l{k:02d}", "s") for k in range(60) for i in range(40 if k < 3 else 4)]
+    model = language_id.train(table(spark, rows))
+    assert len(model["labels"]) == 60
+    asked = [(k, say(k, 8), None, None) for k in range(60)]
+    found = {r["doc_id"]: r["_l"]["lang_pred"] for r in language_id.identify(table(spark, asked), model, column="_l").collect()}
+    assert sum(found[k] == f"l{k:02d}" for k in range(60)) >= 59
+    clash = language_id.identify(table(spark, asked).withColumn("language", F.lit(1)), model)
+    assert clash.columns.count("language") == 1
+
+
 def test_long_texts_are_coded_in_chunks(spark, monkeypatch):
     model = language_id.train(table(spark, [(1, "abc abd abe " * 5, "xx", "s")]))
     whole, _ = language_id.code_lengths(model, ["abcabd" * 100, "b"])
@@ -317,6 +342,49 @@ def test_outliers_are_rejected_and_ordinary_rows_kept(spark):
     assert quality.judged(table(spark, rows).limit(0)).collect() == []
 
 
+def test_a_small_table_is_judged(spark):
+    rng = random.Random(3)
+    text = lambda: " ".join(f"w{rng.randrange(400)}" for _ in range(rng.randrange(60, 200)))
+    rows = [(i, text(), "en", "a") for i in range(150)] + [(999, " ".join(f"v{i} " + "#" * 30 for i in range(100)), "en", "a")]
+    found = {r["doc_id"]: r["quality"] for r in quality.judged(table(spark, rows)).collect()}
+    assert not found[999]["base_failed"] and not found[999]["kept"]
+    assert all(found[i]["kept"] for i in range(150))
+
+
+def _least_determinant(x, kept):
+    """The estimate of the subset with the least determinant, of all subsets."""
+    best = None
+    for rows in itertools.combinations(range(len(x)), kept):
+        own = x[list(rows)]
+        cov = quality.CONSISTENT * np.cov(own.T, bias=True) + np.diag(np.square(quality.FLOORS))
+        best = min(best or (np.inf,), (np.linalg.det(cov), own.mean(axis=0).tolist(), np.linalg.inv(cov).tolist()))
+    return best
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_estimate_equals_the_least_determinant_of_all_subsets(spark, seed):
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((16, 5)) * [3, 1, 2, 4, 2]
+    x[:4] += [40, 8, 20, 30, 9]  # a quarter lies apart
+    rows = spark.createDataFrame([(["a", "b", quality.ALL], v.tolist()) for v in x], "groups array<string>, x array<double>").repartition(3)
+    found = quality.estimates(rows)
+    assert set(found) == {quality.ALL}
+    determinant, mean, inverse = _least_determinant(x, 12)
+    assert np.allclose(found[quality.ALL][0], mean, atol=1e-9) and np.allclose(found[quality.ALL][1], inverse, atol=1e-9)
+
+
+def test_estimates_per_group(spark, monkeypatch):
+    monkeypatch.setattr(quality, "LEAST_ROWS", 30)
+    rng = np.random.default_rng(9)
+    rows = [([f"fine{k % 3}", "lang", quality.ALL], (rng.standard_normal(5) + 10 * (k % 3)).tolist()) for k in range(120)]
+    rows += [(["rare", "rare lang", quality.ALL], [0.0] * 5)]
+    found = quality.estimates(spark.createDataFrame(rows, "groups array<string>, x array<double>"))
+    assert set(found) == {"fine0", "fine1", "fine2", "lang", quality.ALL}
+    assert all(np.abs(found[f"fine{k}"][0] - 10 * k).max() < 1.2 for k in range(3))
+    monkeypatch.setattr(quality, "MOST_GROUPS", 1)
+    assert set(quality.estimates(spark.createDataFrame(rows, "groups array<string>, x array<double>"))) == {"lang", quality.ALL}
+
+
 # licenses
 
 def _licenses(text, templates, contained=0.8):
@@ -349,3 +417,13 @@ def test_licenses_equal_a_full_comparison(spark):
         assert got.get(i, set()) == _licenses(t, license_scan.TEMPLATES)
     with pytest.raises(ValueError):
         license_scan.licenses(table(spark, ODD), {"short": "too short"})
+
+
+def test_a_book_of_notices_ends(spark):
+    """100,000 words of notices in one text take seconds."""
+    notices = list(license_scan.TEMPLATES.values())
+    book = " ".join(notices[i % len(notices)] for i in range(100_000 * len(notices) // sum(len(t.split()) for t in notices)))
+    start = time.perf_counter()
+    found = license_scan.licenses(table(spark, [(1, book, "en", "s")])).collect()
+    assert {r["license"] for r in found} == set(license_scan.TEMPLATES) and all(r["containment"] == 1 for r in found)
+    assert time.perf_counter() - start < 60
