@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.llm import language_id, minhash_dedup, mixing, packing, secret_scan
-from millrace.llm.common import documents
+from millrace.llm.common import documents, unused
 from millrace.llm.tokens import tokenizer_path
 from millrace.session import stage as stored
 
@@ -20,28 +20,33 @@ SHINGLE = 5
 
 
 def languages(spark, docs, sf_dir):
-    """Drop documents in no learned language: no letter, or no shorter code than the uniform one."""
+    """Drop documents in no learned language: no letter, or no shorter code than the uniform one. Null texts go; without
+    labelled rows no language is learned and all go."""
+    name = unused(docs, "_language")
     model = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))))
-    found = language_id.identify(docs, model, column="_language")
-    known = (F.col("_language.lang_pred") != language_id.UNDETERMINED) & (F.col("_language.bits_per_byte") < UNIFORM_BITS)
-    return found.where(known).drop("_language")
+    found = language_id.identify(docs, model, column=name)
+    known = (F.col(f"{name}.lang_pred") != language_id.UNDETERMINED) & (F.col(f"{name}.bits_per_byte") < UNIFORM_BITS)
+    return found.where(known).drop(name)
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """Keep one document of each group of near copies, the one of the smallest id; a row goes by its id and its text."""
+    """Keep one document of each group of near copies, the one of the smallest id; a row goes by its id and its text. Rows
+    equal in both, without a word or without an id stay."""
+    held, nodes, node = (unused(docs, f"_{x}") for x in ("id", "nodes", "node"))
     found = minhash_dedup.near_duplicates(docs, words=SHINGLE, digests=True)
-    copies = found.where(~F.col("kept")).groupBy(F.col("id").alias("_id")).agg(F.collect_set("node").alias("_nodes"))
-    joined = docs.join(copies, docs["doc_id"] == copies["_id"], "left")
-    node = minhash_dedup.digest(F.when(F.col("_nodes").isNotNull(), F.col("text")), SHINGLE)
-    removed = F.coalesce(F.array_contains("_nodes", F.col("_node")), F.lit(False))
-    return joined.withColumn("_node", node).where(~removed).drop("_id", "_nodes", "_node")
+    copies = found.where(~F.col("kept")).groupBy(F.col("id").alias(held)).agg(F.collect_set("node").alias(nodes))
+    joined = docs.join(copies, docs["doc_id"] == copies[held], "left")
+    own = minhash_dedup.digest(F.when(F.col(nodes).isNotNull(), F.col("text")), SHINGLE)
+    removed = F.coalesce(F.array_contains(nodes, F.col(node)), F.lit(False))
+    return joined.withColumn(node, own).where(~removed).drop(held, nodes, node)
 
 
 def secrets(spark, docs, sf_dir):
     """Replace secrets by a mark; every document stays. ``n_chars`` follows the text."""
-    found = secret_scan.scan(docs, column="_secrets")
-    text = secret_scan.redacted(F.col("text"), F.col("_secrets"))
-    return _with_length(found.withColumn("text", text)).drop("_secrets")
+    name = unused(docs, "_secrets")
+    found = secret_scan.scan(docs, column=name)
+    text = secret_scan.redacted(F.col("text"), F.col(name))
+    return _with_length(found.withColumn("text", text)).drop(name)
 
 
 def mixture(spark, docs, sf_dir):
@@ -61,7 +66,7 @@ def _with_length(docs):
 STAGES = [
     ("languages", languages), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixture", mixture), ("sequences", sequences),
 ]
-#: Language models, hashed signatures and a tokenizer have no SQL form; tests compare each stage with brute force.
+#: Language models, hashed signatures and a tokenizer have no SQL form; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
