@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -54,23 +55,44 @@ def new_path(spark: SparkSession, label: str) -> str:
 _STAGED: list[str] = []
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete what :func:`stage` has written in this process. Frames that read it can no longer be used."""
     while _STAGED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _STAGED.pop())
+
+
+def unstage(*staged: DataFrame) -> None:
+    """Delete tables that :func:`stage` has written, once nothing will read them again, and the shuffle files of finished jobs.
+
+    Spark deletes a shuffle's files when the driver's garbage collection finds that no plan refers to it; on a
+    driver with a large heap that may be long after the job.
+    """
+    for df in staged:
+        _delete(df.sparkSession, df.staged_path)
+        _STAGED.remove(df.staged_path)
+    gc.collect()
+    if staged:
+        staged[0].sparkSession._jvm.System.gc()
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     For results that several branches use: the lineage ends at files that survive the loss of
-    executors, and each reader prunes columns as on any parquet table. :func:`release` deletes the files.
+    executors, and each reader prunes columns as on any parquet table. :func:`release` deletes the files, :func:`unstage` those of
+    one table.
     """
     path = new_path(df.sparkSession, label)
     _STAGED.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged.staged_path = path
+    return staged
 
 
 def spread(scan: DataFrame, *keys: str) -> DataFrame:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import clustering, fills, ledger, minhash, ordered
-from millrace.session import release, stage
+from millrace.session import release, stage, unstage
 from millrace.sources import pages
 
 ROWS = [("a", 1, 1.0), ("a", 2, None), (None, 1, 5.0), (None, 3, None), ("b", None, 2.0), ("b", 4, None), (None, None, 7.0)]
@@ -87,6 +88,12 @@ def test_deep_and_broken_pages(spark):
     assert {r.page_id: r.title for r in own.collect()} == {1: str(len(deep)), 2: str(1_500 * 4 + len('<p class="locale">Oslo'))}
 
 
+def test_one_staged_table_can_be_deleted(spark):
+    kept, gone = stage(spark.range(3), "kept"), stage(spark.range(4), "gone")
+    unstage(gone)
+    assert kept.count() == 3 and not os.path.exists(gone.staged_path) and os.path.exists(kept.staged_path)
+
+
 def test_staged_tables_can_be_released(spark):
     random.seed(1)
     df = stage(spark.range(3), "released")
