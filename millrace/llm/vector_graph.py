@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from millrace.session import stage
 
-SHARD = 4096
+SHARD = 16_384
 DEGREE, BEAM, ALPHA = 32, 96, 1.2
 #: Queries that one task answers in one shard, about.
 QUERIES = 10_000
