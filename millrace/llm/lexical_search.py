@@ -30,13 +30,14 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.common import lean
 from millrace.session import stage
 
 #: Occurrences from which a term enters a signature once more.
 LEVELS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 256, 512, 1024)
 BITS, HASHES = 12, 4
 #: Signature entries and documents of a block, and entries that a task holds in all, at most but for one document.
-ENTRIES, DOCUMENTS, HELD = 1 << 19, 4096, 1 << 21
+ENTRIES, DOCUMENTS, HELD = 1 << 18, 4096, 1 << 20
 #: Terms of items that are searched for together, about, and cells of (term, document) that a task bounds at once.
 ITEM_TERMS, CELLS = 8192, 1 << 22
 NEAREST = 10
@@ -142,7 +143,7 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             yield _record([block.row()])
 
     given = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return stage(given.mapInArrow(build, _INDEX), "lexical-index")
+    return stage(given.mapInArrow(lean(build), _INDEX), "lexical-index")
 
 
 def _impact(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -306,6 +307,6 @@ def search(blocks: DataFrame, items: DataFrame, key: str = "item_id", text: str
     for g in range(groups):
         rows = weights.where(F.col("group") == g).drop("group").toPandas()
         if len(rows):
-            found = found.unionByName(blocks.mapInArrow(_searched(_Items(rows), documents, total, nearest), schema))
+            found = found.unionByName(blocks.mapInArrow(lean(_searched(_Items(rows), documents, total, nearest)), schema))
     order = Window.partitionBy("item", "digest").orderBy(F.desc("score"), F.asc_nulls_last("id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest).select("item", "rank", "id", "score")
