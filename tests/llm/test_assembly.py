@@ -389,6 +389,19 @@ def test_graph_recall_beyond_one_batch():
     assert np.mean([len(set(a[:20]) & set(b)) / 20 for a, b in zip(found, exact)]) > 0.9
 
 
+def test_recall_on_a_full_shard():
+    """As many points as a registered shard holds, unit vectors around centres."""
+    rng = np.random.default_rng(21)
+    centres = rng.normal(size=(40, 64))
+    points = centres[rng.integers(40, size=vector_graph.SHARD)] + rng.normal(size=(vector_graph.SHARD, 64)) * 1.5
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    asked = points[:400]
+    graph = vector_graph.Graph(points)
+    found = np.concatenate([graph.search(asked[i : i + 200])[0] for i in (0, 200)])
+    exact = np.argsort(-(asked @ points.T), axis=1)[:, :20]
+    assert np.mean([len(set(a[:20]) & set(b)) / 20 for a, b in zip(found, exact)]) > 0.9
+
+
 def test_recall_on_full_shards_of_varied_lengths(spark):
     rng = np.random.default_rng(14)
     points = rng.normal(size=(3000, 16)) * np.exp(rng.normal(size=(3000, 1)) / 4)
