@@ -141,3 +141,36 @@ def test_partners_resolve_to_documents(spark):
     full = exact_pairs(docs, 0.5)
     expected = sorted((i, j) for p in full for i, j in (p, p[::-1]) if i != 4)
     assert got == expected
+
+
+def test_equal_signatures_are_a_star(spark):
+    """A large group of equal signatures takes part in pairs as one, and costs a row per member."""
+    rows = [(i, [1, 2, 3, 4]) for i in range(5000)] + [(9000, [1, 2, 7, 8]), (9001, [5, 6, 7, 8]), (9002, [9, 9, 9, 9])]
+    sigs = spark.createDataFrame(rows, "id bigint, sig array<int>").repartition(4)
+    pairs, members = minhash.lsh_classes(sigs, 2, 2)
+    assert sorted(map(tuple, pairs.collect())) == [(0, 9000, 0.5), (9000, 9001, 0.5)]
+    assert members.count() == len(rows) and members.where("first = 0").count() == 5000
+    few = spark.createDataFrame(rows[4997:], "id bigint, sig array<int>")
+    got = sorted(map(tuple, minhash.lsh_pairs(few, 2, 2).collect()))
+    assert got == [(4997, 4998, 1.0), (4997, 4999, 1.0), (4997, 9000, 0.5), (4998, 4999, 1.0), (4998, 9000, 0.5), (4999, 9000, 0.5), (9000, 9001, 0.5)]
+
+
+def test_signatures_do_not_travel_before_pairs(spark):
+    sigs = spark.createDataFrame([(i, [i % 7, 2, 3, i % 5]) for i in range(50)], "id bigint, sig array<int>")
+    pairs = minhash.candidate_pairs(minhash.bands(sigs, 2, 2))
+    assert pairs.columns == ["id1", "id2"]
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert all("sig" not in line for line in plan.splitlines() if "Join" in line or "Aggregate" in line)
+
+
+@pytest.mark.parametrize("texts, slots", [(1, 4), (10, 64), (10_000, 1 << 16)])
+def test_pairs_do_not_depend_on_the_token_order(spark, monkeypatch, texts, slots):
+    monkeypatch.setattr(jaccard, "frequency_levels", lambda sets, real=jaccard.frequency_levels: real(sets, texts, slots))
+    rng = random.Random(6)
+    base = ["".join(rng.choice("abcde ") for _ in range(rng.randrange(15, 80))) for _ in range(30)]
+    rows = list(enumerate(dict.fromkeys(b[:k] + x + b[k:] for b in base for k, x in ((0, ""), (5, "z"), (len(b), "qq")))))
+    df = spark.createDataFrame(rows, "id bigint, text string").selectExpr("id", "text", "1 AS copies")
+    sets = {i: {t[k : k + 4] for k in range(len(t) - 3)} for i, t in rows}
+    expected = {(a, b) for a, b in combinations(sets, 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and sets[a]}
+    found = jaccard.jaccard_pairs(df, 0.8, 4).collect()
+    assert {(r.id1, r.id2) for r in found} == expected and expected
