@@ -13,7 +13,7 @@ import numpy as np
 from millrace.llm.common import sole_cache
 
 #: Pieces between blanks, and words, that a task remembers of late, and their longest; only speed depends on them.
-PIECES, WORDS, LETTERS = 80_000, 120_000, 40
+PIECES, WORDS, LETTERS = 300_000, 450_000, 40
 #: Letters that every normaliser in use maps one to one, with the signs that may follow; see ``Encoder``.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 #: Byte-level vocabularies write each byte as a character: itself if it is visible, else the next one from 256 on.
