@@ -300,6 +300,24 @@ def test_secret_query_digests(spark):
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(s[1] == k for s in spans) for k in range(3)]
 
 
+def test_p_values_of_ordinary_runs_are_not_too_small(spark):
+    """Words of documents that stand together without blanks are the null hypothesis: small p-values are as rare as they say."""
+    rng = random.Random(1)
+    runs = []
+    for r in documents(spark, "/root/testdata/sf0.01").select("text").limit(400).collect():
+        w = re.findall(r"\b[A-Za-z]+\b", r["text"] or "")
+        for _ in range(20 if len(w) > 12 else 0):
+            k, n = rng.randrange(len(w) - 10), rng.randrange(3, 10)
+            run = rng.choice(["", "_", "-"]).join(w[k : k + n])
+            if not re.search(r"(?i)password|passwd|secret|token|key", run):
+                runs.append((run,))
+    tested = spark.createDataFrame(runs, "v string").select(secret_scan.battery(F.col("v")).alias("t")).where("t.p is not null")
+    p = np.array([r[0] for r in tested.select("t.p").collect()])
+    assert len(p) > 3000
+    for level in (0.1, 0.01, 0.001):
+        assert (p <= level).mean() <= level + 3 * math.sqrt(level / len(p))
+
+
 # quality
 
 def _statistics(text):
