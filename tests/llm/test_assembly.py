@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -343,6 +344,24 @@ def test_phrases_that_recur_break_no_run():
     assert passages.shared_runs(same, same[:200], 0)[0][4] == 1.0
 
 
+def test_every_repeated_window_of_a_table_is_reported(spark):
+    """All runs of 50 words that two documents of a whole table share, by brute force: what part of them lies in reported passages."""
+    words, holders = {}, {}
+    for r in documents(spark, FOLDER).collect():
+        w = words[r["doc_id"]] = re.findall(r"[^\x20\x09-\x0D]+", (r["text"] or "").translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)))
+        for i in range(len(w) - 49):
+            holders.setdefault(hash(tuple(w[i : i + 50])), []).append((r["doc_id"], i))
+    shared = [x for places in holders.values() if len({d for d, _ in places}) > 1 for x in places]
+    reported = {}
+    for r in passages.shared_passages(documents(spark, FOLDER)).collect():
+        reported.setdefault(r["doc_id"], []).append((r["start_word"], r["end_word"]))
+        reported.setdefault(r["other_id"], []).append((r["other_start"], r["other_end"]))
+    inside = [any(a <= i + 25 < b for a, b in reported.get(d, [])) for d, i in shared]
+    assert len(shared) > 1000
+    assert np.mean(inside) >= 0.95
+    assert np.mean([d in reported for d in {d for d, _ in shared}]) >= 0.95
+
+
 # vectors
 
 def _nearest(rows, queries, nearest):
