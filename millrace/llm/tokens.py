@@ -12,10 +12,12 @@ import numpy as np
 
 from millrace.llm.common import sole_cache
 
-#: Pieces between blanks, and words, that a task remembers of late, and their longest; only speed depends on them.
-PIECES, WORDS, LETTERS = 300_000, 450_000, 40
+#: Pieces between blanks that a task remembers, and their longest; only speed depends on them.
+PIECES, LETTERS = 800_000, 40
 #: Letters that every normaliser in use maps one to one, with the signs that may follow; see ``Encoder``.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+_PLAIN, _CLOSING = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+"), ".,;:!?"
+#: How the tokenizers in use split pieces of ASCII signs further, once in lower case.
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 #: Byte-level vocabularies write each byte as a character: itself if it is visible, else the next one from 256 on.
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _HIDDEN = [b for b in range(256) if b not in _VISIBLE]
@@ -25,21 +27,16 @@ _ENCODERS: dict[tuple, Encoder] = {}
 
 
 class _Memo(dict):
-    """Values found when they are first asked for, and kept for between ``size`` and twice as many keys asked for last."""
+    """Ids of pieces, found when they are first asked for."""
 
-    def __init__(self, find: Callable[[str], bytes], size: int):
+    def __init__(self, find: Callable[[str], bytes]):
         super().__init__()
-        self.find, self.size, self.older = find, size, {}
-
-    def __missing__(self, key: str) -> bytes:
-        found = self.older.get(key)
-        if found is None:
-            found = self.find(key)
-        if len(key) <= LETTERS:
-            if len(self) >= self.size:
-                self.older = dict(self)
-                self.clear()
-            self[key] = found
+        self.find = find
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.find(piece)
+        if len(piece) <= LETTERS:
+            self[piece] = found
         return found
 
 
@@ -49,7 +46,7 @@ class Encoder:
     The tokenizers in use split at every blank and line feed and encode what stands between on its own, so
     a text's ids are those of its pieces. A piece of plain letters and closing signs splits further into the
     two, and its letters encode like their lower case, for which the library's model is asked directly, without
-    the steps before it. ``checked`` compares both with the whole tokenizer before they are used; with a tokenizer that
+    the steps before it. Other pieces of ASCII signs split into runs of letters, digits and runs of signs. ``checked`` compares both with the whole tokenizer before they are used; with a tokenizer that
     differs, whole texts are encoded.
     """
 
@@ -61,8 +58,8 @@ class Encoder:
         wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.kind, self.code = ("<u4", "I") if wide else ("<u2", "H")
         self.model = self.tokenizer.model
-        self.words = _Memo(self._word, WORDS)
-        self.pieces = _Memo(self._piece, PIECES)
+        self.added = [x.content.lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pieces = _Memo(self._piece)
         self.by_piece = self.checked()
 
     def _packed(self, ids: list[int]) -> bytes:
@@ -75,17 +72,26 @@ class Encoder:
         return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def checked(self) -> bool:
-        probe = "Reading writing, Êtres über!\nA Straße.. naïve: b? Zz;\n x çà-et-là 3.5 don't ÿ, Antidisestablishmentarianism"
+        probe = "Reading writing, Êtres über!\nA Straße.. naïve: b? Zz;\n x çà-et-là 3.5 don't ÿ, Antidisestablishmentarianism "
+        probe += "I'LL rock'n'roll A1b2-C3_d4 --'s '' 'S x@y.org/a?b=c&d=10,000.00!! (e.g.,) $5 #x <|endoftext|> ...'re 'd'm~`^"
         try:
             return self._whole(probe) == b"".join(map(self.pieces.__getitem__, probe.replace("\n", " ").split(" ")))
         except Exception:  # a kind of model that cannot be asked for words
             return False
 
     def _piece(self, piece: str) -> bytes:
-        plain = _PLAIN.fullmatch(piece)
-        if not plain:
-            return self._whole(piece) if piece else b""
-        return self.words[plain[1].lower()] + (self.words[plain[2]] if plain[2] else b"")
+        word = piece.rstrip(_CLOSING)
+        if not word:
+            return self._word(piece) if piece else b""
+        if not (word.isascii() and word.isalpha() or _PLAIN.fullmatch(word)):
+            lower = piece.lower()
+            plain = piece.isascii() and piece.isprintable() and not any(x in lower for x in self.added)
+            parts = _PARTS.findall(lower) if plain else []
+            return b"".join(map(self.pieces.__getitem__, parts)) if len(parts) > 1 else self._whole(piece)
+        lower = word.lower()
+        # Words and signs are pieces too, so they share one memory with what they make up.
+        found = self._word(word) if lower == piece else self.pieces[lower]
+        return found if len(word) == len(piece) else found + self.pieces[piece[len(word) :]]
 
     def _word(self, word: str) -> bytes:
         written = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
@@ -97,6 +103,8 @@ class Encoder:
             return b""
         if not self.by_piece:
             return self._whole(text)
+        if len(self.pieces) > PIECES:
+            self.pieces.clear()
         return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
 
     def ids(self, text: str | None, end: int) -> bytes:
