@@ -32,7 +32,7 @@ from millrace.llm.common import sole_cache
 SAMPLE_DOCS = 400
 ORDER = 3
 #: Bytes coded at a time; bounds a task's memory however long a text is.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 UNDETERMINED = "und"
 HAS_LETTER = r"\p{L}"
 SCORED = "lang_pred string, score double, bits_per_byte double"
