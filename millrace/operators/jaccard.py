@@ -1,46 +1,64 @@
-"""Exact set-similarity self join by prefix filtering."""
+"""Exact set-similarity self join by prefix filtering.
+
+A text's prefix is made in the task that reads it. A task packs the prefixes of many texts into one row per bucket of
+tokens: sorted token differences, the texts' places in a short list, positions. What is shuffled is
+a few bytes per token; the tokens of a bucket are unpacked in one task, where nearly all of them prove to be in no other
+text and leave. Texts of candidate pairs travel as texts, once per cell of pairs.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import bind
-from millrace.operators.shingles import shingle_hashes
-from millrace.operators.skew import attach, pairs_within
+from millrace.functions.arrays import shingle_set
+from millrace.operators.skew import pairs_within
 from millrace.session import stage
 
 # Guards products such as 0.8 * 15 = 12.000000000000002 when they bound counts from below.
 EPS = 1e-9
 #: Slots of the list of frequent tokens, and texts that it is made from, about.
 SLOTS, ORDER_TEXTS = 1 << 16, 2_000
+#: Prefix tokens of a bucket and candidate pairs of a cell, about; these only size tasks.
+BUCKET_TOKENS, CELL_PAIRS = 1 << 20, 1 << 11
+#: Prefix tokens that are packed together. A list of texts has at most as many as two bytes can number.
+PACKED_TOKENS, PACKED_TEXTS = 1 << 21, 1 << 16
+#: A token is packed as half of its hash. So many of a text may look alike in a bound on counts.
+TIES = 2
+#: Texts of one token that meet in the task of its bucket; more of them meet in cells of their own.
+GROUP = 64
 
 
-def token_sets(texts: DataFrame, k: int = 10) -> DataFrame:
-    """``(id, tokens)``: a text's shingle set as an array of 64-bit hashes, built inside the row."""
-    return texts.select("id", shingle_hashes(F.col("text"), k).alias("tokens"))
-
-
-def token_rows(sets: DataFrame) -> DataFrame:
-    """``(id, n, h)``, one row per token; ``n`` is the size of the set."""
-    rows = sets.select("id", F.size("tokens").alias("n"), F.explode_outer("tokens").alias("h"))
-    return rows.where(F.col("h").isNotNull())
-
+class Shingled(NamedTuple):
+    """Texts ``(id, text)`` that are read as sets of ``k``-shingles."""
 
-def min_overlap(n1: Column, n2: Column, threshold: float) -> Column:
-    """Fewest common tokens two sets of these sizes need for ``J >= threshold``."""
-    return F.ceil((n1 + n2) * F.lit(threshold / (1 + threshold)) - F.lit(EPS))
+    texts: DataFrame
+    k: int
 
 
-def frequency_levels(sets: DataFrame, texts: int = ORDER_TEXTS, slots: int = SLOTS) -> bytes:
+def frequency_levels(sets: Shingled, texts: int = ORDER_TEXTS, slots: int = SLOTS) -> bytes:
     """A byte for each of ``slots``: the doubled logarithm of how many tokens fall into it.
 
     A token's slot is its hash modulo ``slots``, so this is a bounded list in which frequent tokens stand out.
     It comes from about ``texts`` texts drawn by id, as it only orders tokens: any order gives the same pairs.
     """
-    share = F.greatest(sets.select(F.ceil(F.count(F.lit(1)) / F.lit(texts))).scalar(), F.lit(1))
-    drawn = sets.where(F.pmod(F.xxhash64("id"), share) == 0)
-    counted = token_rows(drawn).groupBy(slot(F.col("h"), slots).alias("slot")).agg(F.count(F.lit(1)).alias("c"))
+    k = sets.k
+    share = F.greatest(sets.texts.select(F.ceil(F.count(F.lit(1)) / F.lit(texts))).scalar(), F.lit(1))
+    drawn = sets.texts.where(F.pmod(F.xxhash64("id"), share) == 0).select("text")
+
+    def count(batches):
+        total = np.zeros(slots, dtype=np.int64)
+        for batch in batches:
+            seen = np.concatenate([np.empty(0, dtype=np.uint64), *(shingle_set(x, k) for x in batch.column("text").to_pylist())])
+            total += np.bincount((seen % np.uint64(slots)).astype(np.int64), minlength=slots)
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["slot", "c"])
+
+    counted = drawn.mapInArrow(count, "slot int, c long").groupBy("slot").agg(F.sum("c").alias("c"))
     levels = bytearray(slots)
     # At most ``slots`` rows.
     for at, level in counted.select("slot", F.round(F.log2(F.col("c") + 1) * 2).cast("int")).collect():
@@ -48,75 +66,195 @@ def frequency_levels(sets: DataFrame, texts: int = ORDER_TEXTS, slots: int = SLO
     return bytes(levels)
 
 
-def slot(h: Column, slots: int) -> Column:
-    """The slot of a token in :func:`frequency_levels`."""
-    return F.pmod(h, F.lit(slots).cast("bigint"))
-
-
-def prefixes(sets: DataFrame, threshold: float, levels: bytes) -> DataFrame:
-    """``(id, n, h, pos)``: each set's first tokens, as many as similar sets must share one of, cut inside the row.
+def prefix(tokens: np.ndarray, threshold: float, levels: np.ndarray) -> np.ndarray:
+    """A set's first tokens, as many as similar sets must share one of.
 
     Tokens are ordered by (level, hash), the same order for all, frequent ones last. Of a set of n tokens
     the first ``n - ceil(t*n) + 1`` suffice: two sets with no common token there have J < t.
     """
-    n = F.size("tokens")
-    level = lambda h: F.substring(F.lit(levels), slot(h, len(levels)).cast("int") + 1, F.lit(1))
-    placed = F.array_sort(F.transform("tokens", lambda h: F.struct(level(h).alias("level"), h.alias("h"))))
-    length = n - F.ceil(n * F.lit(threshold) - F.lit(EPS)).cast("int") + 1
-    first = F.when(n > 0, F.slice(F.transform(placed, lambda x: x["h"]), F.lit(1), length))
-    rows = sets.select("id", n.alias("n"), F.posexplode_outer(first).alias("at", "h"))
-    return rows.where(F.col("h").isNotNull()).select("id", "n", "h", (F.col("at") + 1).alias("pos"))
+    n = len(tokens)
+    level = levels[(tokens % np.uint64(len(levels))).astype(np.int64)]
+    return tokens[np.argsort(level, kind="stable")[: n - int(np.ceil(n * threshold - EPS)) + 1]] if n else tokens
 
 
-def candidates(prefix: DataFrame, threshold: float) -> DataFrame:
-    """``(id1, id2)``: pairs that pass the length and position bounds. None with J >= t is missing.
+def _pack(parts: list[tuple[int, int, np.ndarray]], buckets: int):
+    """A record batch with a row per bucket of the prefixes ``(id, n, tokens)``."""
+    many = [len(p[2]) for p in parts]
+    token = np.concatenate([p[2] for p in parts])
+    bucket = (token >> np.uint64(32)) % np.uint64(buckets)
+    key = bucket << np.uint64(32) | token & np.uint64(0xFFFFFFFF)
+    order = np.argsort(key, kind="stable")
+    key, bucket = key[order], bucket[order]
+    text = np.repeat(np.arange(len(parts)), many)[order]
+    pos = (np.arange(len(token)) - np.repeat(np.cumsum(many) - many, many) + 1)[order].astype(np.uint32)
+    ids, sizes = np.array([p[0] for p in parts], dtype=np.int64), np.array([p[1] for p in parts], dtype=np.uint32)
+    rows = []
+    cuts = np.flatnonzero(np.diff(bucket)) + 1
+    for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
+        used, place = np.unique(text[low:high], return_inverse=True)
+        step = np.diff(key[low:high].astype(np.uint32), prepend=np.uint32(0))
+        arrays = (step, place.astype(np.uint16), pos[low:high], ids[used], sizes[used])
+        # Bytes of like weight side by side: the upper ones are nearly all zero.
+        planes = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays)
+        rows.append((int(bucket[low]), high - low, len(used), pa.compress(planes, codec="zstd", asbytes=True)))
+    b, t, u, planes = zip(*rows)
+    return pa.record_batch(
+        [pa.array(b, pa.int32()), pa.array(t, pa.int32()), pa.array(u, pa.int32()), pa.array(planes, pa.binary())],
+        names=["bucket", "tokens", "texts", "planes"],
+    )
+
+
+def _unpack(tokens: int, texts: int, planes: bytes) -> tuple[np.ndarray, ...]:
+    """``(token, place, pos)`` of a packed row's tokens and ``(id, n)`` of its texts, numbered by the places."""
+    raw = pa.decompress(planes, tokens * 10 + texts * 12, codec="zstd", asbytes=True)
+    arrays, at = [], 0
+    for length, kind in ((tokens, np.uint32), (tokens, np.uint16), (tokens, np.uint32), (texts, np.int64), (texts, np.uint32)):
+        size = length * np.dtype(kind).itemsize
+        plane = np.frombuffer(raw, dtype=np.uint8, count=size, offset=at).reshape(-1, length)
+        arrays.append(np.ascontiguousarray(plane.T).view(kind).reshape(-1))
+        at += size
+    step, place, pos, ids, sizes = arrays
+    return np.cumsum(step, dtype=np.uint32), place.astype(np.int64), pos.astype(np.int64), ids, sizes.astype(np.int64)
+
+
+def packed_prefixes(sets: Shingled, threshold: float, levels: bytes, buckets: int) -> DataFrame:
+    """``(bucket, tokens, texts, planes)``: the prefixes of all texts, packed."""
+    k = sets.k
+
+    def pack(batches):
+        level = np.frombuffer(levels, dtype=np.uint8)
+        parts, size = [], 0
+        for batch in batches:
+            for name, text in zip(batch.column("id").to_pylist(), batch.column("text")):
+                tokens = shingle_set(text.as_py(), k)
+                if len(tokens):
+                    first = prefix(tokens, threshold, level)
+                    parts.append((name, len(tokens), first))
+                    size += len(first)
+                if size >= PACKED_TOKENS or len(parts) == PACKED_TEXTS:
+                    yield _pack(parts, buckets)
+                    parts, size = [], 0
+        if parts:
+            yield _pack(parts, buckets)
+
+    given = sets.texts.select(F.col("id").cast("long").alias("id"), "text").where(F.col("id").isNotNull())
+    return given.mapInArrow(pack, "bucket int, tokens int, texts int, planes binary")
 
-    Most tokens of a prefix are in no other: they are counted and leave before pairs are formed.
-    """
 
-    def possible(a: Column, b: Column) -> Column:
-        needed = min_overlap(a["n"], b["n"], threshold)
-        small, large = F.least(a["n"], b["n"]), F.greatest(a["n"], b["n"])
-        behind = F.least(a["n"] - a["pos"], b["n"] - b["pos"])
-        return (small >= large * F.lit(threshold) - F.lit(EPS)) & (
-            F.least(a["pos"], b["pos"]) + behind >= needed
-        )
-
-    frequencies = prefix.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    # Stored, as the join below looks at the frequencies three times.
-    shared = stage(frequencies.where(F.col("df") > 1), "token-frequencies")
-    kept = attach(prefix, shared, ["h"], row_id="id", freq="df")
-    met = pairs_within(kept, ["h"], "id", "df", ["n", "pos"], possible)
-    seen = met.groupBy(F.col("a.id").alias("id1"), F.col("b.id").alias("id2")).agg(
-        F.count(F.lit(1)).alias("c"),
-        F.max("a.n").alias("n1"),
-        F.max("b.n").alias("n2"),
-        F.max("a.pos").alias("p1"),
-        F.max("b.pos").alias("p2"),
+def _possible(a, b, threshold: float, least, greatest, ceil):
+    """Whether rows ``(n, pos)`` of a common token pass the length and position bounds; on columns or arrays."""
+    needed = ceil((a["n"] + b["n"]) * (threshold / (1 + threshold)) - EPS)
+    behind = least(a["n"] - a["pos"], b["n"] - b["pos"])
+    return (least(a["n"], b["n"]) >= greatest(a["n"], b["n"]) * threshold - EPS) & (least(a["pos"], b["pos"]) + behind >= needed)
+
+
+def _meet(threshold: float):
+    """The function that unpacks a bucket and forms the pairs of its tokens."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        parts = [_unpack(*row) for row in zip(*(table.column(c).to_pylist() for c in ("tokens", "texts", "planes")))]
+        before = np.cumsum([0] + [len(p[3]) for p in parts])
+        token, pos, ids, sizes = (np.concatenate([p[i] for p in parts]) for i in (0, 2, 3, 4))
+        text = np.concatenate([p[1] + start for p, start in zip(parts, before)])
+        order = np.argsort(token, kind="stable")
+        token = token[order]
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        many = np.diff(np.append(starts, len(token)))
+        many = np.repeat(many, many)
+        order, token, many = order[many > 1], token[many > 1], many[many > 1]
+        text, pos = text[order], pos[order]
+        hot = many > GROUP
+        t, x, p = token[~hot], text[~hot], pos[~hot]
+        found = []
+        for ahead in range(1, min(GROUP, len(t))):
+            one = np.flatnonzero(t[:-ahead] == t[ahead:])
+            if not len(one):
+                break
+            a, b = ({"n": sizes[x[at]], "pos": p[at]} for at in (one, one + ahead))
+            fits = _possible(a, b, threshold, np.minimum, np.maximum, np.ceil) & (ids[x[one]] != ids[x[one + ahead]])
+            found.append(np.minimum(x[one], x[one + ahead])[fits] * len(ids) + np.maximum(x[one], x[one + ahead])[fits])
+        pairs, c = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, dtype=np.int64),) * 2
+        low, high = pairs // len(ids), pairs % len(ids)
+        swap = ids[low] > ids[high]
+        low, high = np.where(swap, high, low), np.where(swap, low, high)
+        key = token[hot].astype(np.int64) | np.int64(table.column("bucket")[0].as_py() << 32)
+        met = pa.table({"id1": ids[low], "id2": ids[high], "n1": sizes[low], "n2": sizes[high], "c": c.astype(np.int64)})
+        rows = pa.table({"h": key, "id": ids[text[hot]], "n": sizes[text[hot]], "pos": pos[hot], "df": many[hot]})
+        return pa.concat_tables([met, rows], promote_options="default").select(
+            ["id1", "id2", "n1", "n2", "c", "h", "id", "n", "pos", "df"])
+
+    return meet
+
+
+def candidates(packed: DataFrame, threshold: float) -> DataFrame:
+    """``(id1, id2)``: pairs that pass the bounds by length, position and common prefix tokens. None with J >= t is missing.
+
+    A bucket holds a bounded number of tokens, but a token can be in any number of texts. Up to ``GROUP`` of them meet at once;
+    the rows of more frequent tokens are returned with their number and meet in cells of bounded size.
+    """
+    met = stage(packed.groupBy("bucket").applyInArrow(
+        _meet(threshold), "id1 long, id2 long, n1 long, n2 long, c long, h long, id long, n long, pos long, df long"), "met-tokens")
+    frequent = met.where(F.col("h").isNotNull()).select("h", "id", "n", "pos", "df")
+    possible = lambda a, b: _possible(a, b, threshold, F.least, F.greatest, F.ceil)
+    pairs = pairs_within(frequent, ["h"], "id", "df", ["n", "pos"], possible).select(
+        F.col("a.id").alias("id1"), F.col("b.id").alias("id2"), F.col("a.n").alias("n1"), F.col("b.n").alias("n2"), F.lit(1).cast("long").alias("c")
     )
-    # Beyond the last common prefix token the sets share at most what is left of the shorter rest.
-    bound = F.col("c") + F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2"))
-    return seen.where(bound >= min_overlap(F.col("n1"), F.col("n2"), threshold)).select("id1", "id2")
+    seen = met.where(F.col("h").isNull()).select("id1", "id2", "n1", "n2", "c").unionByName(pairs)
+    # What the prefixes do not have in common lies behind the end of the one that ends first.
+    rest = lambda n: F.ceil(F.col(n) * F.lit(threshold) - F.lit(EPS)) - F.lit(1)
+    needed = F.ceil((F.col("n1") + F.col("n2")) * F.lit(threshold / (1 + threshold)) - F.lit(EPS))
+    summed = seen.groupBy("id1", "id2", "n1", "n2").agg(F.sum("c").alias("c"))
+    return summed.where(F.col("c") + F.greatest(rest("n1"), rest("n2")) + F.lit(TIES) >= needed).select("id1", "id2").distinct()
+
+
+def _scores(threshold: float, k: int):
+    """The function that compares the pairs of a cell."""
+
+    def score(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        sets: dict[int, list[np.ndarray]] = {}
+        for name, text in zip(texts.column("id").to_pylist(), texts.column("text").to_pylist()):
+            sets.setdefault(name, []).append(shingle_set(text, k))
+        rows = []
+        for id1, id2 in zip(pairs.column("id1").to_pylist(), pairs.column("id2").to_pylist()):
+            for one in sets.get(id1, []):
+                for other in sets.get(id2, []):
+                    common = len(np.intersect1d(one, other, assume_unique=True))
+                    # Without shingles there is nothing to compare.
+                    share = common / max(len(one) + len(other) - common, 1)
+                    if share >= threshold:
+                        rows.append((id1, id2, share))
+        a, b, c = zip(*rows) if rows else ((), (), ())
+        return pa.table({"id1": pa.array(a, pa.int64()), "id2": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
+
+    return score
+
+
+def scored_pairs(pairs: DataFrame, sets: Shingled, threshold: float) -> DataFrame:
+    """``(id1, id2, score)`` of the ``pairs`` with at least ``threshold``.
+
+    Pairs are dealt to cells by a part of either id, as many parts as leave about ``CELL_PAIRS`` pairs to a cell. A text is sent
+    once to each cell that needs it, at most twice the number of parts however many pairs it is in.
+    """
+    parts = max(6, int(np.ceil(np.sqrt(pairs.count() / CELL_PAIRS))))
+    part = lambda id_: F.pmod(F.xxhash64(id_), F.lit(parts).cast("long"))
+    dealt = pairs.withColumn("cell", part("id1") * parts + part("id2"))
+    needed = dealt.select(F.col("cell").alias("home"), F.explode(F.array("id1", "id2")).alias("id")).distinct()
+    texts = sets.texts.select(F.col("id").cast("long").alias("id"), "text").join(needed, "id").select("home", "id", "text")
+    return dealt.groupBy("cell").cogroup(texts.groupBy("home")).applyInArrow(
+        _scores(threshold, sets.k), "id1 long, id2 long, score double")
 
 
 def jaccard_pairs(texts: DataFrame, threshold: float = 0.8, k: int = 10) -> DataFrame:
-    """``(id1, id2, score)``: all pairs ``id1 < id2`` with Jaccard similarity ``>= threshold``.
+    """``(id1, id2, score)``: all pairs ``id1 < id2`` with Jaccard similarity ``>= threshold``; ids are whole numbers.
 
-    Expects distinct texts (``distinct_texts``). Prefixes are made inside the row and stored, and only they are shuffled.
+    Expects distinct texts (``distinct_texts``), best stored. Prefixes are made inside the row and only they are shuffled, packed.
     The texts of candidate pairs are shingled again, for the exact score.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
-    sets = token_sets(texts, k)
-    prefix = stage(prefixes(sets, threshold, frequency_levels(sets)), "prefixes")
-    pairs = candidates(prefix, threshold)
-    involved = pairs.select(F.explode(F.array("id1", "id2")).alias("id")).distinct()
-    sets = token_sets(texts.join(involved, "id", "left_semi"), k)
-    first = sets.select(F.col("id").alias("id1"), F.col("tokens").alias("t1"))
-    second = sets.select(F.col("id").alias("id2"), F.col("tokens").alias("t2"))
-    score = bind(
-        F.size(F.array_intersect("t1", "t2")),
-        lambda common: common.cast("double") / (F.size("t1") + F.size("t2") - common),
-    )
-    scored = pairs.join(first, "id1").join(second, "id2").select("id1", "id2", score.alias("score"))
-    return scored.where(F.col("score") >= F.lit(threshold))
+    sets = Shingled(texts, k)
+    size = texts.select(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(1, int(np.ceil(size * (1 - threshold) / BUCKET_TOKENS)))
+    packed = packed_prefixes(sets, threshold, frequency_levels(sets), buckets)
+    pairs = stage(candidates(packed, threshold), "candidate-pairs")
+    return scored_pairs(pairs, sets, threshold)

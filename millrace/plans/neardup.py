@@ -12,7 +12,7 @@ from millrace.functions import hashing
 from millrace.operators import jaccard, minhash, quality
 from millrace.operators import shingles as sh
 from millrace.plans.texts import token_list
-from millrace.session import partition_by, spread, stage
+from millrace.session import spread, stage
 from millrace.sources.tables import table
 
 K, R, B, T = 10, 10, 9, 0.8
@@ -27,7 +27,7 @@ def _cleaned(spark, folder):
 
 def _texts(spark, folder):
     """Distinct cleaned texts, stored: whatever a query derives from them, ``documents`` is read once."""
-    return stage(partition_by(sh.distinct_texts(_cleaned(spark, folder)), "id"), "texts")
+    return stage(sh.distinct_texts(_cleaned(spark, folder)), "texts")
 
 
 def _signatures(texts):
