@@ -6,6 +6,7 @@ import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 
 from millrace.functions.hashing import PRIME
 
@@ -106,9 +107,22 @@ def base_hashes(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray
     return out.byteswap().astype(np.uint64) % np.uint64(PRIME), counts
 
 
+def hashed_texts(texts: pa.Array, k: int, characters: int = 1 << 18):
+    """``(rows, values, counts)`` of :func:`base_hashes` for slices of a column of texts, each of about so many characters."""
+    start, size, some = 0, 0, []
+    for row, text in enumerate(texts):
+        some.append(text.as_py())
+        size += len(some[-1] or "")
+        if size >= characters or row + 1 == len(texts):
+            yield slice(start, row + 1), *base_hashes(some, k)
+            start, size, some = row + 1, 0, []
+
+
 def least_seeded(values: np.ndarray, counts: np.ndarray, family: list[tuple[int, int]]) -> np.ndarray:
     """A row per group of ``counts`` values, none empty, with the least ``(a * x + b) mod PRIME`` for each member (a, b) of
     the family. Values lie below ``PRIME``."""
+    if not len(counts):
+        return np.empty((0, len(family)), dtype=np.uint32)
     ends = np.cumsum(counts)
     least = np.full((len(counts), len(family)), PRIME, dtype=np.uint32)
     members = [(np.uint64(a), np.uint64(b)) for a, b in family]

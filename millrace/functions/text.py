@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A token is a run of letters, digits and underscores of any script ...
-TOKEN_SEPARATOR = r"[^\p{L}\p{N}_]+"
+# A token is a run of letters, digits and underscores of any script; the ASCII ones, named first, are
+# looked up in a table ...
+TOKEN_SEPARATOR = r"[^A-Za-z0-9_\p{L}\p{N}]+"
 # ... and tokens of one or two ASCII letters are dropped (the empty one comes from splitting).
 DROPPED_TOKEN = r"^[A-Za-z]{0,2}$"
 
@@ -16,7 +17,9 @@ DROPPED_TOKEN = r"^[A-Za-z]{0,2}$"
 def tokens(text: Column) -> Column:
     """Lower-case tokens of a text in order, short ASCII words dropped. NULL gives NULL."""
     words = F.split(text, TOKEN_SEPARATOR)
-    return F.transform(F.filter(words, lambda w: ~w.rlike(DROPPED_TOKEN)), lambda w: F.lower(w))
+    # The pattern is tried on short words only.
+    kept = F.filter(words, lambda w: (F.length(w) > 2) | ~w.rlike(DROPPED_TOKEN))
+    return F.transform(kept, lambda w: F.lower(w))
 
 
 def clean(text: Column) -> Column:

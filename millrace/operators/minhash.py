@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions import hashing, vectors
-from millrace.operators.shingles import shingle_rows
+from millrace.functions.arrays import hashed_texts, least_seeded
 from millrace.operators.skew import attach, pairs_within
 from millrace.session import stage
 
@@ -19,22 +20,30 @@ def signatures(
     k: int = 10,
     seed: int = 1,
     keep: list[str] = ["id"],
-    hash_expr: Callable[[Column], Column] = hashing.base_hash,
 ) -> DataFrame:
-    """``(keep..., sig)``: per seeded hash the minimum over a text's shingles.
+    """``(keep..., sig)``: per seeded hash the minimum over a text's shingles, hashed by ``hashing.base_hash``.
 
-    One pass with one aggregate of ``num_hashes`` minima. A document's rows come from one task, so
-    they combine there and only finished signatures are shuffled. ``keep`` is the id and whatever
-    depends on it alone.
+    A text is hashed in the task that reads it, with its neighbours as arrays, and is one signature from then on. Signatures
+    of rows that are equal in ``keep`` are joined; ``keep`` is the id and whatever depends on it alone.
     """
-    hashed = shingle_rows(docs, k, keep).select(*keep, hash_expr(F.col("shingle")).alias("x"))
-    minima = [
-        F.min(hashing.seeded(F.col("x"), a, b)).alias(f"_m{i}")
-        for i, (a, b) in enumerate(hashing.family(num_hashes, seed))
-    ]
-    mins = hashed.groupBy(*keep).agg(*minima)
-    sig = F.array(*[F.col(f"_m{i}").cast("int") for i in range(num_hashes)])
-    return mins.select(*keep, sig.alias("sig"))
+    members = hashing.family(num_hashes, seed)
+    given = docs.select(*keep, F.col("text").alias("_text"))
+
+    def sign(batches):
+        for batch in batches:
+            texts = batch.column("_text")
+            for rows, values, counts in hashed_texts(texts, k):
+                full = np.flatnonzero(counts)
+                least = least_seeded(values, counts[full], members).astype(np.int32)
+                ends = pa.array(np.arange(len(full) + 1, dtype=np.int32) * num_hashes)
+                sig = pa.ListArray.from_arrays(ends, pa.array(least.reshape(-1)))
+                chosen = batch.drop_columns(["_text"]).take(pa.array(rows.start + full))
+                yield pa.record_batch([*chosen.columns, sig], names=[*keep, "sig"])
+
+    schema = T.StructType([*given.select(*keep).schema.fields, T.StructField("sig", T.ArrayType(T.IntegerType()))])
+    least = [F.min(F.get("sig", F.lit(i))) for i in range(num_hashes)]
+    mins = given.mapInArrow(sign, schema).groupBy(*keep).agg(*[m.alias(f"_m{i}") for i, m in enumerate(least)])
+    return mins.select(*keep, F.array(*[F.col(f"_m{i}") for i in range(num_hashes)]).alias("sig"))
 
 
 def band_keys(sig: Column, r: int, b: int) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions import text as tx
+from millrace.functions.arrays import hashed_texts
 from millrace.operators.skew import attach
 
 # Four bytes hold any character, so the i-th one starts at byte 4*i and a shingle is a plain byte
@@ -66,9 +70,20 @@ def shingle_sets(docs: DataFrame, k: int = 10) -> DataFrame:
     return docs.select("id", F.explode(_in_row(F.col("text"), k, lambda s: s)).alias("shingle"))
 
 
-def hashed_shingles(docs: DataFrame, hash_expr, k: int = 10) -> DataFrame:
-    """``(id, hashes)``: the distinct hashes of a text's shingles as an array; no shuffle."""
-    return docs.select("id", _in_row(F.col("text"), k, hash_expr).alias("hashes"))
+def hashed_shingles(docs: DataFrame, k: int = 10) -> DataFrame:
+    """``(id, hashes)``: the distinct ``hashing.base_hash`` values of a text's shingles as an array; no shuffle."""
+
+    def find(batches):
+        for batch in batches:
+            for rows, values, counts in hashed_texts(batch.column("text"), k):
+                sets = [np.unique(x) for x in np.split(values, np.cumsum(counts)[:-1])]
+                ends = np.cumsum([0] + [len(x) for x in sets]).astype(np.int32)
+                hashes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).astype(np.int64)))
+                yield pa.record_batch([batch.column("id")[rows], hashes], names=["id", "hashes"])
+
+    given = docs.select("id", "text")
+    schema = T.StructType([given.schema["id"], T.StructField("hashes", T.ArrayType(T.LongType()))])
+    return given.mapInArrow(find, schema)
 
 
 def cleaned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -39,7 +39,7 @@ def shingles(spark, folder):
 
 
 def shingle_hash(spark, folder):
-    hashed = sh.hashed_shingles(_cleaned(spark, folder), hashing.base_hash, K)
+    hashed = sh.hashed_shingles(_cleaned(spark, folder), K)
     total = F.aggregate("hashes", F.lit(0).cast("bigint"), lambda a, x: a + x)
     return hashed.where(F.size("hashes") > 0).select(
         "id", F.size("hashes").cast("bigint").alias("n"), F.array_min("hashes").alias("least"),
