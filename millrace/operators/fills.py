@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.ordered import along_blocks, block_key, explode_range, with_blocks
+from millrace.session import partition_by
+
+# Rows of a grid that one task sorts, about.
+TASK_ROWS = 500_000
 
 
 def forward_fill(
@@ -36,6 +40,22 @@ def constant_fill(df: DataFrame, columns: list[str], value: float = 0.0) -> Data
     return df.na.fill(value, subset=columns)
 
 
+def _spans(df: DataFrame, series: list[str], ts: str, step: int, closed: bool) -> DataFrame:
+    """``(series..., _first, _end)``: where each series' grid begins and the number of its last tick."""
+    micros = F.unix_micros(F.col(ts))
+    ends = df.groupBy(*series).agg(F.min(micros).alias("_first"), F.max(micros).alias("_last"))
+    span = F.col("_last") - F.col("_first")
+    ticks = F.floor(span / F.lit(step)) + 1 if closed else F.ceil(span / F.lit(step))
+    return ends.where(ticks > 0).select(*series, "_first", (ticks - 1).cast("bigint").alias("_end"))
+
+
+def grid_tasks(df: DataFrame, series: list[str], ts: str, step_seconds: int, closed: bool = False, rows: int = TASK_ROWS) -> int:
+    """How many tasks a grid needs for about ``rows`` ticks each, ``spark.sql.shuffle.partitions`` at least. One number passes the driver."""
+    spans = _spans(df, series, ts, step_seconds * 1_000_000, closed)
+    ticks = spans.select(F.sum(F.col("_end") + 1)).first()[0] or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-ticks // rows))
+
+
 def grid_fill(
     df: DataFrame,
     series: list[str],
@@ -43,38 +63,41 @@ def grid_fill(
     step_seconds: int,
     closed: bool = False,
     block_ticks: int = 4096,
+    tasks: int | None = None,
 ) -> DataFrame:
     """One row per grid tick from a series' first to its last timestamp, the last one excluded.
 
     Adds ``tick``, the tick's number from 0. Rows off the grid vanish; missing ones are NULL. The
-    grid is laid out in blocks of ticks, so that a long series' ticks are made by many tasks.
+    grid is laid out in blocks of ticks, so that a long series' ticks are made by many tasks. The grid may be far larger than
+    ``df``; ``tasks`` (:func:`grid_tasks`) is into how many tasks it is dealt.
     """
-    micros = F.unix_micros(F.col(ts))
-    ends = df.groupBy(*series).agg(F.min(micros).alias("_first"), F.max(micros).alias("_last"))
     step = step_seconds * 1_000_000
-    span = F.col("_last") - F.col("_first")
-    ticks = F.floor(span / F.lit(step)) + 1 if closed else F.ceil(span / F.lit(step))
-    spans = ends.where(ticks > 0).select(*series, "_first", (ticks - 1).cast("bigint").alias("_end"))
-    laid_out = explode_range(spans, F.lit(0), F.col("_end"), "tick", block_ticks)
+    spans = _spans(df, series, ts, step, closed)
+    laid_out = explode_range(spans, F.lit(0), F.col("_end"), "tick", block_ticks, tasks)
     grid = laid_out.select(
         *series, F.timestamp_micros(F.col("_first") + F.col("tick") * F.lit(step)).alias(ts), "tick"
     )
     # A struct key, because a NULL series has a grid like any other.
     key = F.struct(*[F.col(c) for c in [*series, ts]])
     known = df.withColumn("_key", key).drop(*series, ts)
-    return grid.withColumn("_key", key).join(known, "_key", "left").drop("_key")
+    keyed = grid.withColumn("_key", key)
+    if tasks:
+        keyed, known = (partition_by(x, "_key", tasks=tasks) for x in (keyed, known))
+    return keyed.join(known, "_key", "left").drop("_key")
 
 
 def interpolate(
-    df: DataFrame, series: list[str], pos: str, columns: list[str], block_rows: int = 4096
+    df: DataFrame, series: list[str], pos: str, columns: list[str], block_rows: int = 4096, tasks: int | None = None
 ) -> DataFrame:
     """Fill NULLs linearly by position; leading NULLs stay, trailing ones take the last value.
 
     ``pos`` numbers a series' rows without gaps (``tick`` of :func:`grid_fill`, or ``number_rows``).
     The nearest known value on either side comes from the row's own block, else from the nearest
-    block that has one.
+    block that has one. With ``tasks`` the blocks are dealt to so many, and a task sorts its share of the rows only.
     """
     blocked = df.withColumn("_key", block_key(series, F.floor(F.col(pos) / F.lit(block_rows))))
+    if tasks:
+        blocked = partition_by(blocked, "_key", tasks=tasks)
     at = {c: F.when(F.col(c).isNotNull(), F.col(pos)) for c in columns}
     ends = []
     for c in columns:

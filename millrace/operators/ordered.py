@@ -83,16 +83,19 @@ def sums_before(df: DataFrame, order: list[str], value: str, name: str) -> DataF
     return joined.withColumn(name, F.col("_before") + F.col("_inside")).drop("_key", "_before", "_inside")
 
 
-def explode_range(df: DataFrame, low: Column, high: Column, name: str, block: int = BLOCK_ROWS) -> DataFrame:
+def explode_range(
+    df: DataFrame, low: Column, high: Column, name: str, block: int = BLOCK_ROWS, tasks: int | None = None
+) -> DataFrame:
     """One row per integer from ``low`` to ``high``, both included, in the new column ``name``.
 
     In two steps, first one row per block, then its integers, with a shuffle between: one wide range
-    becomes many tasks' work and no long array is built. Empty ranges give no row.
+    becomes many tasks' work and no long array is built. Empty ranges give no row. Adaptive execution sees the short rows of
+    blocks and may put all into a few tasks; ``tasks`` fixes their number.
     """
     ranged = df.withColumn("_low", low.cast("bigint")).withColumn("_high", high.cast("bigint"))
     ranged = ranged.where(F.col("_low") <= F.col("_high"))
     firsts = F.sequence(F.col("_low"), F.col("_high"), F.lit(block).cast("bigint"))
-    cut = ranged.withColumn("_at", F.explode(firsts)).repartition(*df.columns, "_at")
+    cut = ranged.withColumn("_at", F.explode(firsts)).repartition(*([tasks] if tasks else []), *df.columns, "_at")
     until = F.least(F.col("_high"), F.col("_at") + F.lit(block - 1))
     return cut.withColumn(name, F.explode(F.sequence(F.col("_at"), until))).drop("_low", "_high", "_at")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import vectors
 from millrace.operators import bars, fills, forecast, ordered
+from millrace.session import stage
 from millrace.sources.tables import table
 
 HOUR = 3600
@@ -34,14 +35,18 @@ def _hours(spark, folder):
 
 
 def _grid(spark, folder):
-    return fills.grid_fill(_hours(spark, folder), ["user_id"], "ts", HOUR)
+    """The hourly grid and the number of tasks it is dealt to. The hours are stored, as they are read three times."""
+    hours = stage(_hours(spark, folder), "hours")
+    tasks = fills.grid_tasks(hours, ["user_id"], "ts", HOUR)
+    return fills.grid_fill(hours, ["user_id"], "ts", HOUR, tasks=tasks), tasks
 
 
 VALUES = ["open", "high", "low", "close", "volume"]
 
 
 def _whole(spark, folder):
-    return fills.interpolate(_grid(spark, folder), ["user_id"], "tick", VALUES)
+    grid, tasks = _grid(spark, folder)
+    return fills.interpolate(grid, ["user_id"], "tick", VALUES, tasks=tasks)
 
 
 def ffill(spark, folder):
@@ -54,7 +59,7 @@ def _hour_number():
 
 def grid_fill(spark, folder):
     values = [F.round(c, 6).alias(c) if c == "volume" else F.col(c) for c in VALUES]
-    return _grid(spark, folder).select("user_id", "tick", _hour_number(), *values)
+    return _grid(spark, folder)[0].select("user_id", "tick", _hour_number(), *values)
 
 
 def interpolate(spark, folder):
