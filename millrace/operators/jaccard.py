@@ -22,9 +22,9 @@ from millrace.session import stage
 # Guards products such as 0.8 * 15 = 12.000000000000002 when they bound counts from below.
 EPS = 1e-9
 #: Slots of the list of frequent tokens, and texts that it is made from, about.
-SLOTS, ORDER_TEXTS = 1 << 16, 2_000
+SLOTS, ORDER_TEXTS = 1 << 22, 4_000
 #: Prefix tokens of a bucket and candidate pairs of a cell, about; these only size tasks.
-BUCKET_TOKENS, CELL_PAIRS = 1 << 20, 1 << 11
+BUCKET_TOKENS, CELL_PAIRS = 1 << 20, 1 << 12
 #: Prefix tokens that are packed together. A list of texts has at most as many as two bytes can number.
 PACKED_TOKENS, PACKED_TEXTS = 1 << 21, 1 << 16
 #: A token is packed as half of its hash. So many of a text may look alike in a bound on counts.
@@ -59,11 +59,11 @@ def frequency_levels(sets: Shingled, texts: int = ORDER_TEXTS, slots: int = SLOT
         yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["slot", "c"])
 
     counted = drawn.mapInArrow(count, "slot int, c long").groupBy("slot").agg(F.sum("c").alias("c"))
-    levels = bytearray(slots)
-    # At most ``slots`` rows.
-    for at, level in counted.select("slot", F.round(F.log2(F.col("c") + 1) * 2).cast("int")).collect():
-        levels[at] = level
-    return bytes(levels)
+    levels = np.zeros(slots, dtype=np.uint8)
+    # At most ``slots`` rows of five bytes.
+    found = counted.select("slot", F.round(F.log2(F.col("c") + 1) * 2).cast("tinyint").alias("level")).toArrow()
+    levels[found.column("slot").to_numpy()] = found.column("level").to_numpy()
+    return levels.tobytes()
 
 
 def prefix(tokens: np.ndarray, threshold: float, levels: np.ndarray) -> np.ndarray:
