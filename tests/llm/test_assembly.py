@@ -320,6 +320,31 @@ def test_passages_between_the_ends_of_large_groups(spark):
     assert len(named) >= 20
 
 
+def test_exact_passages_with_long_frequent_lines_lose_no_document(spark):
+    """Nearly all least values lie in a line that very many documents, or one document over and over, hold."""
+    rng = random.Random(21)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    line = fresh(45)
+    rows = [(i, " ".join(fresh(30) + line + fresh(30)), "en", "s") for i in [*range(1, 40), *range(112, 150), *range(200, 240)]]
+    planted = set()
+    for k in range(12):
+        exact = fresh(3) + line + fresh(3)
+        for i in (100 + k, 150 + k):
+            rows.append((i, " ".join(fresh(rng.randrange(30, 90)) + exact + fresh(50)), "en", "s"))
+            planted.add(i)
+    # The centre holds the passage behind more than PART places of the line.
+    again = fresh(45)
+    last = fresh(3) + again + fresh(3)
+    rows.append((300, " ".join(sum([again + fresh(30) for _ in range(20)], []) + last + fresh(30)), "en", "s"))
+    rows.append((301, " ".join(fresh(33) + last + fresh(44)), "en", "s"))
+    rows.append((302, " ".join(sum([again + fresh(30) for _ in range(20)], [])), "en", "s"))
+    found = passages.shared_passages(table(spark, rows)).collect()
+    words = {i: t.split() for i, t, *_ in rows}
+    assert all(r["similarity"] >= 0.8 for r in found)
+    assert planted | {301} <= {r["doc_id"] for r in found} | {r["other_id"] for r in found}
+    assert any(words[r["doc_id"]][r["start_word"] : r["end_word"]] == last for r in found if {r["doc_id"], r["other_id"]} == {300, 301})
+
+
 def test_functions_miss_less_than_a_hundredth_at_the_threshold():
     miss = 1 - passages.SIMILARITY
     missed = sum(math.comb(passages.HASHES, k) * (1 - miss) ** k * miss ** (passages.HASHES - k) for k in range(passages.AGREE))
