@@ -39,19 +39,27 @@ def load_index(spark: SparkSession, path: str) -> DataFrame:
 
 def nested_postings(postings: DataFrame, per_line: int = 100_000) -> DataFrame:
     """``(term, part, entries)``: postings as arrays by document; long ones are cut into parts."""
+    return _nested(_cut(postings, per_line))
+
+
+def _cut(postings: DataFrame, per_line: int) -> DataFrame:
     part = part_of(F.col("doc_id"), parts_of(F.col("df"), per_line))
+    return postings.select("term", part.alias("part"), "doc_id", "partial_score")
+
+
+def _nested(cut: DataFrame) -> DataFrame:
     entry = F.struct("doc_id", "partial_score")
-    return postings.groupBy("term", part.alias("part")).agg(
-        F.sort_array(F.collect_list(entry)).alias("entries")
-    )
+    return cut.groupBy("term", "part").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
 
 
 def write_readable_index(postings: DataFrame, path: str, per_line: int = 100_000) -> None:
-    """Text lines ``term<TAB>entries`` in term order, several lines for a term of many postings."""
-    nested = nested_postings(postings, per_line)
+    """Text lines ``term<TAB>entries`` in term order, several lines for a term of many postings, in files packed by gzip.
+
+    Postings are dealt by ranges of lines before they are gathered, so that they are shuffled once.
+    """
+    nested = _nested(_cut(postings, per_line).repartitionByRange("term", "part"))
     line = F.concat_ws("\t", "term", F.to_json("entries"))
-    ordered = nested.repartitionByRange("term", "part").sortWithinPartitions("term", "part")
-    ordered.select(line.alias("value")).write.text(path)
+    nested.sortWithinPartitions("term", "part").select(line.alias("value")).write.text(path, compression="gzip")
 
 
 def fingerprint(df: DataFrame) -> str:

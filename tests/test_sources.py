@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import gzip
+import json
 
 from pyspark.sql import functions as F
 
@@ -83,6 +85,19 @@ def test_index_reloads_and_reads_as_text(spark, tmp_path):
     assert set(lines) == {r.term for r in nested}
 
 
+def test_readable_index_is_packed_text_shuffled_once(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"common word{i % 3} tail{i}") for i in range(12)], "doc_id bigint, text string")
+    built = tfidf.build_postings(docs, "doc_id", "text")
+    sinks.write_readable_index(built, str(tmp_path / "text"), per_line=2)
+    files = sorted((tmp_path / "text").glob("part-*"))
+    assert files and all(f.name.endswith(".txt.gz") for f in files)
+    lines = [line for f in files for line in gzip.decompress(f.read_bytes()).decode().splitlines()]
+    terms = [line.split("\t")[0] for line in lines]
+    assert terms == sorted(terms) and terms.count("common") > 1
+    got = {(line.split("\t")[0], e["doc_id"], e["partial_score"]) for line in lines for e in json.loads(line.split("\t")[1])}
+    assert got == {(r.term, r.doc_id, r.partial_score) for r in built.collect()}
+
+
 def test_stored_result_is_built_once_per_parameters(spark, tmp_path):
     calls = []
 
