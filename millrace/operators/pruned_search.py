@@ -58,7 +58,9 @@ def write_index(weighted: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Store an index of ``weighted`` ``(doc_id, term, tf, df, idf, norm)`` rows, replacing what is there.
 
     A bucket's postings are dealt to several files by document, as many as the session's shuffle partitions allow, so that a
-    term of very many postings is no single task's work.
+    term of very many postings is no single task's work. With one bucket rows stay in the task that has them: where
+    these hold whole documents, as those of ``tfidf.weights`` do, so do the files, and a search sums a document's scores before
+    it shuffles them. That suits an index of which a batch of queries reads every bucket.
     """
     block = F.floor(F.log2("norm") * BLOCKS_PER_OCTAVE).cast("int")
     rows = postings(weighted.withColumn("_block", block), "_block").select(
@@ -67,15 +69,18 @@ def write_index(weighted: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     spark = weighted.sparkSession
     order = ["bucket", "term", "block", "doc_id"]
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(-(-tasks // buckets)))
-    rows.repartition(tasks, "bucket", share).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+
+    def store(table, name, order, dealt_by):
+        share = F.pmod(F.xxhash64(dealt_by), F.lit(-(-tasks // buckets)))
+        dealt = table if buckets == 1 else table.repartition(tasks, "bucket", share)
+        dealt.sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
+
+    store(rows, "postings", order, "doc_id")
     stored = spark.read.schema(rows.schema).parquet(f"{path}/postings")
     blocks = stored.groupBy("bucket", "term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("partial_score").alias("most"))
-    blocks.repartition("bucket").sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+    store(blocks, "blocks", order[:3], "term")
     terms = spark.read.schema(blocks.schema).parquet(f"{path}/blocks").groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.max("most").alias("most"))
-    terms.withColumn("buckets", F.lit(buckets)).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy(
-        "bucket"
-    ).parquet(f"{path}/terms")
+    store(terms.withColumn("buckets", F.lit(buckets)), "terms", order[:2], "term")
 
 
 def dictionary(weighted: DataFrame) -> DataFrame:
@@ -165,8 +170,8 @@ def search_index(index: Index, queries: DataFrame, k: int = 10, query_id: str =
 
 
 def search_corpus(weighted: DataFrame, queries: DataFrame, k: int = 10, query_id: str = "query_id", query_text: str = "text",
-                  buckets: int = 8) -> DataFrame:
-    """Search ``weighted`` rows through an index stored for this one search."""
+                  buckets: int = 1) -> DataFrame:
+    """Search ``weighted`` rows through an index stored for this one search, which is read as a whole."""
     path = new_path(weighted.sparkSession, "index")
     write_index(weighted, path, buckets)
     return search_index(load_index(weighted.sparkSession, path, buckets), queries, k, query_id, query_text)

@@ -50,6 +50,8 @@ def weights_of(rows: DataFrame, frequencies: DataFrame, n_docs: Column) -> DataF
     window the terms of one document only.
     """
     joined = attach(rows, frequencies, ["term"], row_id="doc_id", freq="df")
+    # Counts travel to their document; what follows from them is wider and is computed there.
+    joined = joined.select("doc_id", "term", "tf", "df").repartition("doc_id")
     idf = F.log10(n_docs.cast("double") / F.col("df"))
     by_doc = Window.partitionBy("doc_id")
     weighted = joined.withColumn("idf", idf).withColumn("_w", F.col("tf") * F.col("idf"))

@@ -156,3 +156,23 @@ def test_frequent_terms_are_read_for_few_documents(spark, tmp_path):
     assert {int(r.f.split("bucket=")[1].split("/")[0]) for r in read} <= set(buckets) and len(read) < stored
     one = spark.createDataFrame([(1, "rare7")], "query_id bigint, text string")
     assert len(pruned_search._asked(index, one, "query_id", "text", 100)[1]) == 1
+
+
+def test_an_index_for_one_search_keeps_documents_whole(spark, tmp_path):
+    """A document's postings lie in one file, so that its score is summed there; bounds and dictionary are no single task's work."""
+    docs, word, rng = _zipf_corpus(3, 400, 500)
+    weighted = tfidf.weights(tfidf.tokenised(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4), "doc_id", "text"))
+    partitions = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        pruned_search.write_index(weighted, str(tmp_path / "i"), 1)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", partitions)
+    index = pruned_search.load_index(spark, str(tmp_path / "i"), 1)
+    files = index.postings.select("doc_id", F.input_file_name().alias("file")).distinct()
+    assert files.groupBy("doc_id").count().where("count > 1").count() == 0
+    for stored in (index.postings, index.blocks, index.terms):
+        assert stored.select(F.input_file_name()).distinct().count() > 1
+    queries = spark.createDataFrame([(i, " ".join(word() for _ in range(6))) for i in range(20)], "query_id bigint, text string")
+    exhaustive = sorted(map(tuple, search.search(tfidf.postings(weighted), queries, 5).collect()))
+    assert sorted(map(tuple, pruned_search.search_index(index, queries, 5, first_rows=30).collect())) == exhaustive
