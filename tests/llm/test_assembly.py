@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pathlib
 import random
 import re
 import string
@@ -345,6 +346,30 @@ def test_exact_passages_with_long_frequent_lines_lose_no_document(spark):
     assert any(words[r["doc_id"]][r["start_word"] : r["end_word"]] == last for r in found if {r["doc_id"], r["other_id"]} == {300, 301})
 
 
+def test_passages_keep_less_on_disk_than_their_texts(spark, monkeypatch):
+    """Windows of one key are gathered by offset before they travel, and no staged table holds the shingles of the texts."""
+    rng = random.Random(5)
+    fresh = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    shared = fresh(400)
+    rows = [(i, " ".join(fresh(60) + shared + ["again"] * 200 + fresh(60)), "en", "s") for i in range(1, 60)]
+    sizes, plans_ = {}, []
+
+    def kept(df, label, real=passages.stage):
+        if label == "near-windows":
+            plans_.append(df._jdf.queryExecution().executedPlan().toString())
+        staged = real(df, label)
+        sizes[label] = sizes.get(label, 0) + sum(f.stat().st_size for f in pathlib.Path(staged.staged_path.removeprefix("file:")).rglob("*.parquet"))
+        return staged
+
+    monkeypatch.setattr(passages, "stage", kept)
+    found = passages.shared_passages(table(spark, rows)).collect()
+    assert {r["doc_id"] for r in found} == set(range(1, 60))
+    assert max(sizes.values()) < sum(len(t) for _, t, *_ in rows) / 4
+    for plan in plans_:
+        travels = re.search(r"Exchange hashpartitioning\(other#.*\n(.*)", plan[plan.rindex("Exchange hashpartitioning(other#") :])
+        assert "partial_bit_or" in travels.group(1)
+
+
 def test_functions_miss_less_than_a_hundredth_at_the_threshold():
     miss = 1 - passages.SIMILARITY
     missed = sum(math.comb(passages.HASHES, k) * (1 - miss) ** k * miss ** (passages.HASHES - k) for k in range(passages.AGREE))
