@@ -346,6 +346,38 @@ def test_exact_passages_with_long_frequent_lines_lose_no_document(spark):
     assert any(words[r["doc_id"]][r["start_word"] : r["end_word"]] == last for r in found if {r["doc_id"], r["other_id"]} == {300, 301})
 
 
+def test_passages_of_covered_documents_and_near_copies_in_large_groups(spark):
+    """What a document shares with one whose stretch lies in another's passage, and near copies that nearly all is frequent in."""
+    rng = random.Random(33)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    ends = {i: [] for i in [*range(1, 24), *range(500, 524)]}
+    rows, parts, pairs = [], {}, {}
+    for k in range(8):
+        whole = fresh(200)
+        for some in ends.values():
+            some += fresh(60) + whole[:100] + fresh(2) + whole[102:]
+        # The first is covered by its near copies at the ends; to these the second's 50 words are less alike than 0.8.
+        rows.append((100 + k, " ".join(fresh(30) + whole + fresh(30)), "en", "s"))
+        rows.append((200 + k, " ".join(fresh(40) + whole[76:126] + fresh(20)), "en", "s"))
+        parts[200 + k] = 100 + k
+    line = fresh(48)
+    for some in ends.values():
+        some += fresh(60) + line + fresh(60)
+    for k in range(12):
+        one = fresh(1) + line + fresh(1)
+        other = list(one)
+        other[rng.randrange(15, 35)] = "changed"
+        rows.append((300 + k, " ".join(fresh(40) + one + fresh(30)), "en", "s"))
+        rows.append((400 + k, " ".join(fresh(70) + other + fresh(40)), "en", "s"))
+        pairs[300 + k] = 400 + k
+    rows += [(i, " ".join(w), "en", "s") for i, w in ends.items()]
+    found = passages.shared_passages(table(spark, rows)).collect()
+    assert all(r["similarity"] >= 0.8 for r in found)
+    met = {frozenset((r["doc_id"], r["other_id"])) for r in found}
+    assert all({i, j} in met for i, j in parts.items())
+    assert all({i, j} in met for i, j in pairs.items())
+
+
 def test_passages_keep_less_on_disk_than_their_texts(spark, monkeypatch):
     """Windows of one key are gathered by offset before they travel, and no staged table holds the shingles of the texts."""
     rng = random.Random(5)
