@@ -42,7 +42,8 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
         for i in range(1, min(3, k - at)):
             word |= points[at + i : n + at + i] << np.uint64(21 * i)
         x = _mixed(x * _STEP + word)
-    return np.unique(x)
+    x.sort()  # the hash table of ``np.unique`` takes ten times as long
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
 
 
 def _md5_first(words: list[np.ndarray | None]) -> np.ndarray:
