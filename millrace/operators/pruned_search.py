@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.search import SCORE_DECIMALS, top_k
 from millrace.operators.tfidf import postings, term_freq, tokenised
-from millrace.session import new_path, stage
+from millrace.session import free, new_path, stage, unstage
 
 BUCKETS = 64
 #: Blocks per doubling of the norm.
@@ -74,6 +74,7 @@ def write_index(weighted: DataFrame, path: str, buckets: int = BUCKETS) -> None:
         share = F.pmod(F.xxhash64(dealt_by), F.lit(-(-tasks // buckets)))
         dealt = table if buckets == 1 else table.repartition(tasks, "bucket", share)
         dealt.sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
+        free(spark)  # each table is read back from its files
 
     store(rows, "postings", order, "doc_id")
     stored = spark.read.schema(rows.schema).parquet(f"{path}/postings")
@@ -111,7 +112,9 @@ def _asked(index: Index, queries: DataFrame, query_id: str, query_text: str, fir
     read = F.sum("df").over(rarest.rowsBetween(Window.unboundedPreceding, 0))
     # Whatever the rarest has, it is read.
     rare = (read <= first_rows) | (F.row_number().over(rarest) == 1)
-    return stage(known.withColumn("rare", rare).drop("df"), "known-terms"), buckets
+    asked = stage(known.withColumn("rare", rare).drop("df"), "known-terms")
+    unstage(wanted)
+    return asked, buckets
 
 
 def least_results(found: DataFrame, k: int) -> DataFrame:
@@ -162,9 +165,11 @@ def search_index(index: Index, queries: DataFrame, k: int = 10, query_id: str =
     asked, buckets = _asked(index, queries, query_id, query_text, first_rows)
     rows = index.within(index.postings, buckets)
     first = stage(_summed(_added(rows, asked.where("rare").drop("rare"), ["bucket", "term"])), "rare-scores")
+    free(first.sparkSession)
     terms = stage(optional_terms(index, asked, first, k, buckets), "optional-terms")
     needed = terms.where("not optional").drop("bound", "optional")
     found = stage(_summed(first.unionByName(_added(rows, needed, ["bucket", "term", "block"]))), "found-scores")
+    unstage(asked, first)
     scored = found.unionByName(looked_up(rows, found, terms, k)).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
     return top_k(scored, k).select(F.col("query_id.id").alias("query_id"), "rank", "doc_id", "score")
 
