@@ -426,6 +426,20 @@ def test_phrases_that_recur_break_no_run():
     assert passages.shared_runs(same, same[:200], 0)[0][4] == 1.0
 
 
+def test_a_similar_part_of_an_unlike_run_is_found():
+    rng = np.random.default_rng(17)
+    fresh = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    a = fresh(400)
+    b = a.copy()
+    # Ten places in a row differ at most, so that the whole is one run; only 150 to 202 is similar enough.
+    for at in [*range(0, 150, 13), *range(203, 391, 13)]:
+        b[at : at + 9] = fresh(9)
+    b[174:179] = fresh(5)
+    found = passages.shared_runs(a, b)
+    assert len(found) == 1 and found[0][0] <= 152 and found[0][1] >= 200 and found[0][4] >= 0.8
+    assert found[0][:2] == found[0][2:4]
+
+
 def test_every_repeated_window_of_a_table_is_reported(spark):
     """All runs of 50 words that two documents of a whole table share, by brute force: what part of them lies in reported passages."""
     words, holders = {}, {}
